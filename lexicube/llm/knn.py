@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexicube.llm.vectors import all_vectors, matrix
@@ -45,8 +46,8 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale.astype(np.float32), np.linalg.norm(x - q * scale[:, None], axis=1).astype(np.float32)
 
 
-def nearest_in_block(qid: np.ndarray, q: np.ndarray, mid: np.ndarray, m: np.ndarray, k: int, strip: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The k nearest of ``m`` for each of ``q``: (id, their ids, their cosines), best first.
+def nearest_in_block(qid: np.ndarray, q: np.ndarray, mid: np.ndarray, m: np.ndarray, k: int, strip: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k nearest of ``m`` for each of ``q``, strip by strip: (rows of q, rows of m, cosines), best first.
 
     int8 products give every cosine to within the sum of what the two vectors lost
     in quantisation. Of each row, the k-th best of the maxima of column groups is a
@@ -77,44 +78,50 @@ def nearest_in_block(qid: np.ndarray, q: np.ndarray, mid: np.ndarray, m: np.ndar
         sim = np.einsum("ij,ij->i", q[rows][i], m[j], dtype=np.float64)
         order = np.lexsort((mid[j], -sim, i))
         i, j, sim = i[order], j[order], sim[order]
-        first = np.searchsorted(i, np.arange(len(est)))
-        rank = np.arange(len(i)) - first[i]
-        best = rank < k
-        i, j, sim = i[best], j[best], sim[best]
-        bounds = np.searchsorted(i, np.arange(len(est) + 1))
-        for r in range(len(est)):
-            lo, hi = bounds[r], bounds[r + 1]
-            if hi > lo:
-                yield int(qid[at + r]), mid[j[lo:hi]], sim[lo:hi]
-
-
-def nearest(vectors: DataFrame, k: int = 10, margin: float = 0.25, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        yield i[best] + at, j[best], sim[best]
+
+
+def _rows(table: pa.Table, id: str, v: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of an Arrow table, without a copy per row."""
+    col = table.column(v).combine_chunks()
+    col = col if isinstance(col, pa.Array) else pa.concat_arrays(col.chunks)
+    size = len(col[0].as_py())
+    flat = np.frombuffer(col.buffers()[2], dtype=np.uint8)
+    first = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset]
+    return table.column(id).to_numpy(), flat[first : first + size * len(col)].view("<f4").reshape(len(col), -1)
+
+
+def nearest(vectors: DataFrame, k: int = 10, margin: float = 0.25, among: DataFrame | None = None, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(id, near array<struct<sim double, id long>>): the k nearest of every vector.
 
-    ``vectors`` has ``id`` (unique) and ``v`` (unit float32 vectors as bytes).
+    ``vectors`` has ``id`` (unique) and ``v`` (unit float32 vectors as bytes); the
+    neighbours are searched ``among`` another such table, by default the same one.
 
     Coarse lists, sqrt(n) / 8 of them, are fitted on a bounded sample; every vector
     belongs to the list of its nearest centre and is compared with the lists near
     it: those whose border with its own list is at most ``margin`` away. By the
     geometry of the border a pair of a cosine above 1 - margin**2 / 2 is never
     missed, and others only if a random direction leads far over a border; recall of
-    the ten nearest is measured in the tests and the README. Each pair of a list's
-    members and the vectors that ask it is a product of blocks of at most ``block``
-    rows on average (both sides are split by a hash of the id), so a list with a third
-    of all vectors becomes many tasks. The per-block results, at most k per vector,
-    are merged by a sort of at most k entries per block.
+    the ten nearest is measured in the tests and the README. ``margin`` 2 compares
+    with all lists and is exact. Each pair of a list's members and the vectors that
+    ask it is a product of blocks of at most ``block`` rows on average (both sides
+    are split by a hash of the id), so a list with a third of all vectors becomes
+    many tasks. The per-block results, at most k per vector, are merged by a sort of
+    at most k entries per block.
 
     An empty table gives an empty one; fewer than k others give as many as there are;
     equal vectors are ordinary neighbours with cosine 1.
     """
     spark = vectors.sparkSession
     near_type = "id long, near array<struct<sim:double,id:bigint>>"
-    vecs = cut(vectors.select("id", "v"), "vectors")
-    n = vecs.count()
+    base = vectors if among is None else among
+    held = cut(base.select("id", "v"), "vectors")
+    n = held.count()
     if n == 0:
         return spark.createDataFrame([], near_type)
     lists = max(1, min(MOST_LISTS, math.ceil(math.sqrt(n) / 8)))
-    drawn = vecs.select(F.xxhash64("id").alias("h"), "v").orderBy("h").limit(sample).toPandas()
+    drawn = held.select(F.xxhash64("id").alias("h"), "v").orderBy("h").limit(sample).toPandas()
     centres = fit_lists(matrix(drawn["v"]), lists)
     gap = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
 
@@ -127,26 +134,42 @@ def nearest(vectors: DataFrame, k: int = 10, margin: float = 0.25, block: int =
             ask = aff.max(axis=1)[:, None] - aff <= margin * gap[own]
             yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "list": own.astype(np.int32), "asks": [np.flatnonzero(a).astype(np.int32) for a in ask]})
 
-    placed = cut(vecs.mapInPandas(assign, "id long, v binary, list int, asks array<int>"), "placed")
-    drop_cut(vecs)
+    place = lambda df: cut(df.mapInPandas(assign, "id long, v binary, list int, asks array<int>"), "placed")
+    placed = place(held)
+    asker = placed if among is None else place(vectors.select("id", "v"))
+    drop_cut(held)
     members = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    asking = {r["list"]: r["n"] for r in placed.select(F.explode("asks").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asking = {r["list"]: r["n"] for r in asker.select(F.explode("asks").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = [(b, -(-members[b] // block), -(-asking[b] // block)) for b in asking if b in members]
+    if not plan:
+        return spark.createDataFrame([], near_type)
     parts = F.broadcast(spark.createDataFrame(plan, "list int, m_parts int, q_parts int"))  # one row a list, MOST_LISTS at most
     salt = lambda c: F.pmod(F.xxhash64("id", F.lit(1)), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = placed.select("id", "v", F.explode("asks").alias("list")).join(parts, "list").select("id", "v", "list", salt("q_parts").alias("q_part"), every("m_parts").alias("m_part"))
+    left = asker.select("id", "v", F.explode("asks").alias("list")).join(parts, "list").select("id", "v", "list", salt("q_parts").alias("q_part"), every("m_parts").alias("m_part"))
     right = placed.select("id", "v", "list").join(parts, "list").select("id", "v", "list", salt("m_parts").alias("m_part"), every("q_parts").alias("q_part"))
-    right = right.toDF("m_id", "m_v", "m_list", "m_m_part", "m_q_part")  # fresh names: both sides come from one table
-
-    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(a) and len(b):
-            for i, ids, sims in nearest_in_block(a["id"].to_numpy(), matrix(a["v"]), b["m_id"].to_numpy(), matrix(b["m_v"]), k):
-                rows.append((i, [{"sim": float(s), "id": int(o)} for s, o in zip(sims, ids)]))
-        return pd.DataFrame(rows, columns=["id", "near"])
-
-    tiles = left.groupBy("list", "m_part", "q_part").cogroup(right.groupBy("m_list", "m_m_part", "m_q_part")).applyInPandas(tile, near_type)
+    right = right.toDF("m_id", "m_v", "m_list", "m_m_part", "m_q_part")  # fresh names: both sides may come from one table
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        got: list[tuple] = []
+        ids, counts = [], []
+        if a.num_rows and b.num_rows:
+            qid, q = _rows(a, "id", "v")
+            mid, m = _rows(b, "m_id", "m_v")
+            for i, j, sim in nearest_in_block(qid, q, mid, m, k):
+                rows, c = np.unique(i, return_counts=True)
+                ids.append(qid[rows])
+                counts.append(c)
+                got.append((sim, mid[j]))
+        if not ids:
+            return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], near_arrow)})
+        sims, others = (np.concatenate(x) for x in zip(*got))
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(sims), pa.array(others)], names=["sim", "id"])
+        return pa.table({"id": pa.array(np.concatenate(ids)), "near": pa.ListArray.from_arrays(pa.array(offsets), pairs)})
+
+    near_arrow = pa.list_(pa.struct([("sim", pa.float64()), ("id", pa.int64())]))
+    tiles = left.groupBy("list", "m_part", "q_part").cogroup(right.groupBy("m_list", "m_m_part", "m_q_part")).applyInArrow(tile, near_type)
     order = lambda x: F.struct((-x["sim"]).alias("d"), x["id"].alias("id"))
     merged = tiles.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
     best = F.slice(F.array_sort(F.transform("near", order)), 1, k)
