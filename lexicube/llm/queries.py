@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexicube.llm import knn, mcl, mixing, packing, relevance, repeats, termcounts
+from lexicube.llm import knn, mcl, mixing, packing, relevance, repeats, sentences, termcounts
 
-QUERIES = {f.__name__: f for f in (relevance.p1_found, relevance.p1_weights, termcounts.p3_found, termcounts.p3_counts, packing.p7_bins, packing.p7_fill, mixing.p8_mix, mixing.p8_shares, repeats.p9_found, repeats.p9_shares, knn.p4_found, knn.p4_nearest, mcl.p5_found, mcl.p5_groups)}
+QUERIES = {f.__name__: f for f in (relevance.p1_found, relevance.p1_weights, termcounts.p3_found, termcounts.p3_counts, packing.p7_bins, packing.p7_fill, mixing.p8_mix, mixing.p8_shares, repeats.p9_found, repeats.p9_shares, knn.p4_found, knn.p4_nearest, mcl.p5_found, mcl.p5_groups, sentences.p6_found, sentences.p6_by_language)}
 
 # Canonical form of a phrase; current rows; both as DuckDB expressions.
 _CANON = "trim(regexp_replace(lower(nfc_normalize({})), '[\\s\\p{{Z}}_\\x1c-\\x1f\\x85\\x0b]+', ' ', 'g'))"
