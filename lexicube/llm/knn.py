@@ -18,6 +18,8 @@ BLOCK = 8192
 #: The index is fitted on at most so many vectors, taken in a hash order of the ids.
 SAMPLE = 20_000
 MOST_LISTS = 4096
+#: A table searched by another is sent to all tasks up to this many vectors (1.6 MB at 100 numbers).
+SMALL = 4096
 
 
 def fit_lists(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -46,14 +48,14 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale.astype(np.float32), np.linalg.norm(x - q * scale[:, None], axis=1).astype(np.float32)
 
 
-def nearest_in_block(qid: np.ndarray, q: np.ndarray, mid: np.ndarray, m: np.ndarray, k: int, strip: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def nearest_in_block(qid: np.ndarray, q: np.ndarray, mid: np.ndarray, m: np.ndarray, k: int, strip: int = 512, alone: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The k nearest of ``m`` for each of ``q``, strip by strip: (rows of q, rows of m, cosines), best first.
 
     int8 products give every cosine to within the sum of what the two vectors lost
     in quantisation. Of each row, the k-th best of the maxima of column groups is a
     floor for the k-th best; pairs that even with their error bound stay below it
     are out, the others are computed again in double precision. Ties go to the
-    smaller id. The vector itself is left out.
+    smaller id. With ``alone`` the vector itself (the same id) is left out.
     """
     q8, qs, ql = quantise(q)
     m8, ms, ml = quantise(m)
@@ -73,8 +75,9 @@ def nearest_in_block(qid: np.ndarray, q: np.ndarray, mid: np.ndarray, m: np.ndar
             i, j = np.nonzero(est >= (floor - 2 * slack)[:, None])
         else:
             i, j = np.divmod(np.arange(len(est) * len(m)), len(m))
-        other = qid[rows][i] != mid[j]
-        i, j = i[other], j[other]
+        if alone:
+            other = qid[rows][i] != mid[j]
+            i, j = i[other], j[other]
         sim = np.einsum("ij,ij->i", q[rows][i], m[j], dtype=np.float64)
         order = np.lexsort((mid[j], -sim, i))
         i, j, sim = i[order], j[order], sim[order]
@@ -92,6 +95,25 @@ def _rows(table: pa.Table, id: str, v: str) -> tuple[np.ndarray, np.ndarray]:
     return table.column(id).to_numpy(), flat[first : first + size * len(col)].view("<f4").reshape(len(col), -1)
 
 
+def _nearest_few(vectors: DataFrame, held: DataFrame, k: int, near_type: str) -> DataFrame:
+    """The neighbours among at most ``SMALL`` vectors: those are sent to every task, nothing is shuffled."""
+    few = held.toPandas()
+    mid, m = few["id"].to_numpy(), matrix(few["v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            qid, q = _rows(pa.Table.from_batches([batch]), "id", "v")
+            for i, j, sim in nearest_in_block(qid, q, mid, m, k, alone=False):
+                rows, count = np.unique(i, return_counts=True)
+                offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(sim), pa.array(mid[j])], names=["sim", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["id", "near"])
+
+    return vectors.select("id", "v").mapInArrow(run, near_type)
+
+
 def nearest(vectors: DataFrame, k: int = 10, margin: float = 0.25, among: DataFrame | None = None, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(id, near array<struct<sim double, id long>>): the k nearest of every vector.
 
@@ -111,7 +133,8 @@ def nearest(vectors: DataFrame, k: int = 10, margin: float = 0.25, among: DataFr
     at most k entries per block.
 
     An empty table gives an empty one; fewer than k others give as many as there are;
-    equal vectors are ordinary neighbours with cosine 1.
+    equal vectors are ordinary neighbours with cosine 1. Only with ``among`` may a
+    vector's own id be among its neighbours.
     """
     spark = vectors.sparkSession
     near_type = "id long, near array<struct<sim:double,id:bigint>>"
@@ -120,6 +143,8 @@ def nearest(vectors: DataFrame, k: int = 10, margin: float = 0.25, among: DataFr
     n = held.count()
     if n == 0:
         return spark.createDataFrame([], near_type)
+    if among is not None and n <= SMALL:
+        return _nearest_few(vectors, held, k, near_type)
     lists = max(1, min(MOST_LISTS, math.ceil(math.sqrt(n) / 8)))
     drawn = held.select(F.xxhash64("id").alias("h"), "v").orderBy("h").limit(sample).toPandas()
     centres = fit_lists(matrix(drawn["v"]), lists)
@@ -150,13 +175,15 @@ def nearest(vectors: DataFrame, k: int = 10, margin: float = 0.25, among: DataFr
     right = placed.select("id", "v", "list").join(parts, "list").select("id", "v", "list", salt("m_parts").alias("m_part"), every("q_parts").alias("q_part"))
     right = right.toDF("m_id", "m_v", "m_list", "m_m_part", "m_q_part")  # fresh names: both sides may come from one table
 
+    alone = among is None
+
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
         got: list[tuple] = []
         ids, counts = [], []
         if a.num_rows and b.num_rows:
             qid, q = _rows(a, "id", "v")
             mid, m = _rows(b, "m_id", "m_v")
-            for i, j, sim in nearest_in_block(qid, q, mid, m, k):
+            for i, j, sim in nearest_in_block(qid, q, mid, m, k, alone=alone):
                 rows, c = np.unique(i, return_counts=True)
                 ids.append(qid[rows])
                 counts.append(c)
