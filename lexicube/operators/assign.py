@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexicube.functions.vector import cosine, dot, mean_vector
 from lexicube.operators.common import top_k
+from lexicube.session import cut
 
 #: Label vectors are broadcast up to this many; a label set is a fixed list.
 MOST_LABELS = 10_000
@@ -65,17 +66,21 @@ def descend(votes: DataFrame, tree: DataFrame, root: str, share: float = 0.6, de
     Stops at a node without such a child; at most ``depth`` steps.
     """
     at = votes.select("set_id").distinct().withColumn("node", F.lit(root))
-    total = votes
-    below = tree.select(F.col("parent").alias("node"), F.col("child").alias("next"))
-    under = below.select(F.col("next").alias("top"), F.col("next").alias("label"))
-    for _ in range(depth):  # every node with all labels below it
-        deeper = under.join(below.toDF("label", "n"), "label").select("top", F.col("n").alias("label"))
-        under = under.unionByName(deeper).distinct()
-    mass = total.join(under, "label").groupBy("set_id", F.col("top").alias("next")).agg(F.sum("votes").alias("v"))
+    below = cut(tree.select(F.col("parent").alias("node"), F.col("child").alias("next")), "tree")
+    now = below.select(F.col("next").alias("top"), F.col("next").alias("label"))
+    under = now
+    for _ in range(depth):  # every node with all labels below it, a level at a time
+        now = cut(now.join(below.toDF("label", "n"), "label").select("top", F.col("n").alias("label")), "level")
+        if now.isEmpty():
+            break
+        under = under.unionByName(now)
+    mass = cut(votes.join(under.distinct(), "label").groupBy("set_id", F.col("top").alias("next")).agg(F.sum("votes").alias("v")), "mass")
     for _ in range(depth):
         step = at.join(below, "node").join(mass, ["set_id", "next"]).withColumn("part", F.col("v") / F.sum("v").over(Window.partitionBy("set_id")))
-        best = top_k(step, ["set_id"], [F.col("part").desc(), F.col("next")], 1).where(F.col("part") > share).select("set_id", "next")
-        at = at.join(best, "set_id", "left").select("set_id", F.coalesce("next", "node").alias("node"))
+        best = cut(top_k(step, ["set_id"], [F.col("part").desc(), F.col("next")], 1).where(F.col("part") > share).select("set_id", "next"), "best")
+        if best.isEmpty():
+            break
+        at = cut(at.join(best, "set_id", "left").select("set_id", F.coalesce("next", "node").alias("node")), "at")
     return at
 
 

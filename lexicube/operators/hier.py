@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lexicube.session import cut
+
 
 def leaves(links: DataFrame) -> DataFrame:
     """Children that are no parent."""
@@ -104,7 +106,9 @@ def expand(facts: DataFrame, start: DataFrame, hops: int, relations: list[list[s
         f = facts if relations is None else facts.where(F.col("prop").isin(relations[hop - 1]))
         got = f.join(at.withColumnRenamed("entity", "subj"), "subj", "left_semi").select("subj", "obj", "prop", F.lit(hop).alias("hop"))
         out = got if out is None else out.unionByName(got)
-        at = got.select(F.col("obj").alias("entity")).distinct().join(seen, "entity", "left_anti")
+        if hop == hops:
+            break
+        at = cut(got.select(F.col("obj").alias("entity")).distinct().join(seen, "entity", "left_anti"), "reached")
         seen = seen.unionByName(at)
     return out
 
