@@ -155,7 +155,7 @@ def test_groups_are_the_planted_ones(spark):
     assert mcl.similarity_groups(vectors.unit_vectors(df.limit(0), "id", "e")).count() == 0
 
 
-TEXTS = ["Dr. Ann went home. It rained! \"Will it hold?\" asked Bob. (It did.) Costs fell 3.5 percent.The end came.", "发言人说：“工厂关闭。”价格上涨了3.5。为什么？", "A title\n\nIt rained all day. Dr. Bob\nslept. story_separator_special_tag He left.", "ราคาเพิ่มขึ้น 41.49 เปอร์เซ็นต์ ใครจะรับผิดชอบ", "", None]
+TEXTS = ["Dr. Ann went home. It rained! \"Will it hold?\" asked Bob. (It did.) Costs fell 3.5 percent.The end came.", "发言人说：“工厂关闭。”价格上涨了3.5。为什么？", "A title\n\nHe left home. Dr. Bob\nslept. story_separator_special_tag He left.", "ราคาเพิ่มขึ้น 41.49 เปอร์เซ็นต์ ใครจะรับผิดชอบ", "", None]
 
 
 def test_sentences(spark):
@@ -167,7 +167,7 @@ def test_sentences(spark):
     got = {i: [TEXTS[i][a:b] for a, b in zip(g["start_pos"], g["end_pos"])] for i, g in spans.groupby("set_id")}
     assert got[0] == ["Dr. Ann went home.", "It rained!", '"Will it hold?" asked Bob.', "(It did.)", "Costs fell 3.5 percent.", "The end came."]
     assert got[1] == ["发言人说：“工厂关闭。”", "价格上涨了3.5。", "为什么？"]
-    assert got[2] == ["A title", "It rained all day.", "Dr. Bob\nslept.", "He left."]
+    assert got[2] == ["A title", "He left home.", "Dr. Bob\nslept.", "He left."]
     assert got[3] == ["ราคาเพิ่มขึ้น 41.49 เปอร์เซ็นต์", "ใครจะรับผิดชอบ"] and set(got) == {0, 1, 2, 3}
 
 
