@@ -378,7 +378,7 @@ def mmr_summary(spark, d):
 @query()
 def sumdocs_contrast(spark, d):
     """Summaries from phrases that the set's own walk prefers to that of its background."""
-    return summarize.contrast_summaries(spark, d, _sents(spark, d), _phrase_edges(spark, d), mined_tf(spark, d))
+    return summarize.contrast_summaries(spark, d, _sents(spark, d), _phrase_edges(spark, d))
 
 
 @query()

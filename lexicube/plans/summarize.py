@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexicube.functions import text as T
 from lexicube.operators import cooc, cube, rank, select
-from lexicube.operators.common import sample_k, top_k
+from lexicube.operators.common import top_k
 from lexicube.session import cut, table
 
 
@@ -24,21 +24,31 @@ def coverage(sents: DataFrame, budget: int = 200) -> DataFrame:
     return from_scores(sents, index.tfidf(tf).select(F.col("doc_id").alias("set_id"), "phrase", "score"), budget)
 
 
-def contrast_summaries(spark: SparkSession, folder: str, sents: DataFrame, target: DataFrame, background_tf: DataFrame, comparative: int = 20, k: int = 100, rounds: int = 10) -> DataFrame:
+def background_edges(docs: DataFrame) -> DataFrame:
+    """(set_id, src, dst, w): window counts of the words of all documents of every set.
+
+    Counts are added up before they are mirrored and before a set goes to one task, so a
+    set with a tenth of all documents is there only as its distinct pairs of words.
+    """
+    p = cooc.window_pairs(docs.where("set_id is not null and text is not null"), "set_id", T.tokens(F.col("text")), 4)
+    once = p.groupBy("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    # a pair of equal terms adds 2
+    w = F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n")).cast("double").alias("w")
+    ends = F.array_distinct(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    return once.select(F.col("key").alias("set_id"), F.explode(ends).alias("e"), w).select("set_id", "e.src", "e.dst", "w")
+
+
+def contrast_summaries(spark: SparkSession, folder: str, sents: DataFrame, target: DataFrame, k: int = 100, rounds: int = 10) -> DataFrame:
     """Summaries from target-minus-background contrast.
 
-    Per set: the background is ``comparative`` documents of its ``set_id`` (a seeded
-    choice); phrases are scored as a cube cell against the other sets; the ten best
-    seed walks on the set's own word graph and on that of its background; what the own
-    walk prefers scores the sentences.
+    Per set: the background is all documents of its ``set_id``; phrases are scored as a
+    cube cell against the other sets; the ten best seed walks on the set's own word graph
+    and on that of its background; what the own walk prefers scores the sentences.
     """
     tf = cut(sents.select("set_id", F.explode("tokens").alias("phrase")).groupBy("set_id", "phrase").agg(F.count(F.lit(1)).alias("tf")), "tf")
     # every set is a cell of its own, its texts are one document of it
     scores = cube.cell_scores(tf.select(F.col("set_id").alias("doc_id"), "phrase", "tf"), tf.select(F.col("set_id").alias("cell"), F.col("set_id").alias("doc_id")).distinct(), "A")
     seeds = top_k(scores.select(F.col("cell").alias("set_id"), F.col("phrase").alias("node"), "score"), ["set_id"], [F.col("score").desc(), F.col("node")], 10).select("set_id", "node")
-    docs = sample_k(table(spark, folder, "documents").where("set_id is not null and text is not null").select("set_id", "doc_id", "text"), ["set_id"], "doc_id", comparative, 7)
-    p = cooc.window_pairs(docs, "set_id", T.tokens(F.col("text")), 4)
-    both = p.unionByName(p.select("key", F.col("b").alias("a"), F.col("a").alias("b")))
-    back = both.groupBy(F.col("key").alias("set_id"), F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    back = background_edges(table(spark, folder, "documents").select("set_id", "text"))
     got = rank.contrast(cut(target, "target"), back, seeds, k, rounds)
     return from_scores(sents, got.withColumnRenamed("node", "phrase"))

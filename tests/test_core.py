@@ -214,3 +214,26 @@ def test_contrast_prefers_own_phrases(spark):
     t, b = spark.createDataFrame(e([("own", "seed"), ("own", "both")]), sch), spark.createDataFrame(e([("both", "seed"), ("both", "far")]), sch)
     got = rank.contrast(t, b, spark.createDataFrame([(1, "seed")], "set_id long, node string"), 2, 3)
     assert got.orderBy(F.desc("score")).first().node == "own"
+
+
+def test_contrast_background_is_all_documents(spark, tmp_path, monkeypatch):
+    from lexicube.plans import catalog, summarize
+
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, 1, f"{words[i % 30]} {words[(i * 7) % 30]} same same. {words[(i * 11) % 30]}") for i in range(70)] + [(70, 2, "a b"), (71, None, "a b"), (72, 2, None)]
+    spark.createDataFrame(docs, "doc_id long, set_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    when = dt.datetime(2020, 1, 1)
+    spark.createDataFrame([(s, 0, "A b c. D e f.", when) for s in (1, 2)], "set_id long, doc_no int, docs string, ingested_at timestamp").write.parquet(f"{tmp_path}/doc_sets.parquet")
+    spark.createDataFrame([], "doc_id long, line_no int, phrase string, document_phrase_cnt int, ingested_at timestamp").write.parquet(f"{tmp_path}/doc_phrase.parquet")
+    seen = []
+    real = rank.contrast
+    monkeypatch.setattr(summarize.rank, "contrast", lambda target, background, *a: seen.append(background) or real(target, background, *a))
+    catalog.sumdocs_contrast(spark, str(tmp_path))
+    want = {}
+    for _, s, text in docs:
+        t = (text or "").replace(".", "").split() if s else []
+        for i, a in enumerate(t):
+            for b in t[i + 1 : i + 5]:
+                for e in ((s, a, b), (s, b, a)):
+                    want[e] = want.get(e, 0) + 1
+    assert {(r.set_id, r.src, r.dst): r.w for r in seen[0].collect()} == want
