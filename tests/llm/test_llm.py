@@ -155,6 +155,41 @@ def test_groups_are_the_planted_ones(spark):
     assert mcl.similarity_groups(vectors.unit_vectors(df.limit(0), "id", "e")).count() == 0
 
 
+def test_similarity_groups_lost_clusters_remove_none(spark):
+    """H > N > G: N clashes with H, G only with N; G stays."""
+    rng = np.random.default_rng(4)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    h, n, g = np.eye(100)[:3]
+    n = 0.35 * h + math.sqrt(1 - 0.35**2) * n
+    g = 0.36 * n + math.sqrt(1 - 0.36**2) * unit(g - (g @ n) * n)
+    g = unit(g - (g @ h - 0.02) * h)
+    # cosines to a mean are spread so that some of one reach the other's mean
+    noise = lambda k: unit(rng.normal(size=(k, 100)))
+    x = np.vstack([0.75 * c + math.sqrt(1 - 0.75**2) * noise(k) for c, k in ((h, 300), (n, 100), (g, 40))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, e array<float>")
+    got = mcl.similarity_groups(vectors.unit_vectors(df, "id", "e")).toPandas()
+    found = [set(f["id"]) for _, f in got.groupby("leader")]
+    own = np.repeat([0, 1, 2], [300, 100, 40])
+    share = lambda k: max(len(f & set(np.flatnonzero(own == k))) / (own == k).sum() for f in found)
+    assert share(0) >= 0.8 and share(2) >= 0.9 and share(1) < 0.1
+
+
+def test_smaller_of_clashes(spark):
+    pairs = [(1, 2), (2, 3), (3, 4), (2, 4), (7, 8), (7, 8)]
+    got = mcl.smaller_of_clashes(spark.createDataFrame(pairs, "big long, small long"))
+    assert sorted(r.node for r in got.collect()) == [2, 4, 8]
+    assert mcl.smaller_of_clashes(spark.createDataFrame([], "big long, small long")).count() == 0
+
+
+def test_all_clashing_means_are_seen(spark):
+    """One vector within reach of more than four means; the parts are merged alike."""
+    m = np.eye(100, dtype="f4")[:9]
+    v = (m[:8].sum(axis=0) / math.sqrt(8)).astype("f4")
+    df = lambda x, c: spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], c)
+    got = mcl._best(df(v[None], "id long, v binary"), df(m, "node long, s binary"), 0.353, 0.35).collect()
+    assert len(got) == 1 and got[0].node == 0 and sorted(got[0].others) == list(range(1, 8))
+
+
 TEXTS = ["Dr. Ann went home. It rained! \"Will it hold?\" asked Bob. (It did.) Costs fell 3.5 percent.The end came.", "发言人说：“工厂关闭。”价格上涨了3.5。为什么？", "A title\n\nHe left home. Dr. Bob\nslept. story_separator_special_tag He left.", "ราคาเพิ่มขึ้น 41.49 เปอร์เซ็นต์ ใครจะรับผิดชอบ", "", None]
 
 
