@@ -190,6 +190,30 @@ def test_all_clashing_means_are_seen(spark):
     assert len(got) == 1 and got[0].node == 0 and sorted(got[0].others) == list(range(1, 8))
 
 
+def test_small_loose_groups_against_brute_force(spark):
+    """Pairs of members have cosines around 0.2 to 0.3 only."""
+    rng = np.random.default_rng(3)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    planted, x = [], []
+    for m, c in ((5, 0.64), (6, 0.63), (8, 0.6), (12, 0.6)):
+        p = (m * c * c - 1) / (m - 1)
+        planted.append(set(range(len(x), len(x) + m)))
+        x += list(unit(math.sqrt(p) * unit(rng.normal(size=100)) + math.sqrt(1 - p) * unit(rng.normal(size=(m, 100)))))
+    x = np.array(x + list(unit(rng.normal(size=(4, 100)))))
+
+    def holds(groups):
+        """The definition, pair by pair."""
+        means = [unit(x[sorted(g)].mean(axis=0)) for g in groups]
+        return all(x[i] @ means[a] > 0.5 and all(x[i] @ m < 0.35 for b, m in enumerate(means) if b != a) for a, g in enumerate(groups) for i in g)
+
+    assert holds(planted)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, e array<float>")
+    got = mcl.similarity_groups(vectors.unit_vectors(df, "id", "e")).toPandas()
+    found = [set(g["id"]) for _, g in got.groupby("leader")]
+    assert holds(found) and all(len(f) >= 5 for f in found)
+    assert all(max((len(w & f) / len(w | f) for f in found), default=0) >= 0.8 for w in planted)
+
+
 TEXTS = ["Dr. Ann went home. It rained! \"Will it hold?\" asked Bob. (It did.) Costs fell 3.5 percent.The end came.", "发言人说：“工厂关闭。”价格上涨了3.5。为什么？", "A title\n\nHe left home. Dr. Bob\nslept. story_separator_special_tag He left.", "ราคาเพิ่มขึ้น 41.49 เปอร์เซ็นต์ ใครจะรับผิดชอบ", "", None]
 
 
