@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexicube.session import cut
+
 #: A key counts as hot when it holds more than one in HOT_PARTS of all rows, so
 #: there can never be more than HOT_PARTS hot keys: broadcasting them is bounded.
 HOT_PARTS = 1000
@@ -51,3 +53,26 @@ def join_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], n: str, t
 def sample_k(df: DataFrame, by: Sequence[str], key: str, k: int, seed: int = 0) -> DataFrame:
     """``k`` rows of each group by a seeded hash order: the same rows on any cluster."""
     return top_k(df, by, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], k, "__s").drop("__s")
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """Running sums (inclusive) of ``values`` along ``order`` in every group of ``by``.
+
+    No group is sorted by one task: rows are split by ranges of (group, order), summed
+    within a range, and the totals of the ranges before (one row a range and group) are
+    added. The ranges are cut, as their bounds are sampled and must not be drawn twice.
+    ``order`` must be total. With no ``by`` the whole table is one group.
+    """
+    each = df.withColumns({f"__v_{k}": v for k, v in values.items()})
+    split = cut(each.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    part = split.groupBy("__part", *by).agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in values])
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = ["__part", *by]
+    base = part.select(*[F.col(c).alias(f"__k_{c}") for c in keys], *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in values])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    out = split.join(base, same)
+    sums = {k: F.sum(f"__v_{k}").over(inside) + F.col(f"__b_{k}") for k in values}
+    return out.select(*df.columns, *[c.alias(k) for k, c in sums.items()])

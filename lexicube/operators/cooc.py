@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lexicube.operators.common import join_stats
+from lexicube.session import cut
 
 
 def window_pairs(df: DataFrame, key: str, terms: Column, window: int = 4, first: int = 1) -> DataFrame:
@@ -31,10 +34,12 @@ def document_counts(pairs: DataFrame) -> DataFrame:
 def row_normalised(counts: DataFrame, weight: str = "n") -> DataFrame:
     """(a, b, p): counts over their row sums, pairs of equal terms left out.
 
-    Rows without a partner don't come out; read them as uniform.
+    Rows without a partner don't come out; read them as uniform. Sums are aggregated and
+    joined back, frequent words apart, so no word is held by one task.
     """
-    c = counts.where("a <> b")
-    return c.withColumn("p", F.col(weight) / F.sum(weight).over(Window.partitionBy("a"))).select("a", "b", "p")
+    c = cut(counts.where("a <> b").select("a", "b", weight), "counts")
+    sums = c.groupBy("a").agg(F.sum(weight).alias("total"), F.count(F.lit(1)).alias("rows"))
+    return join_stats(c, sums, ["a"], "rows", c.count()).select("a", "b", (F.col(weight) / F.col("total")).alias("p"))
 
 
 def similarity_weighted(counts: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -68,3 +68,21 @@ def weighted_vectors(tf: DataFrame, weights: DataFrame, vectors: DataFrame, dim:
 def rank_fusion(lists: DataFrame) -> DataFrame:
     """(item, score): sum of 1 / rank over the lists, ranks from 1."""
     return lists.groupBy("item").agg(F.sum(1 / F.col("rank")).alias("score"))
+
+
+def directed_lead(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(a, b, lead): w(a, b) / n(a) - w(b, a) / n(b) of ordered pair counts (a, b, w) and term counts (term, n).
+
+    A missing direction counts 0; a pair with a term without a count is left out.
+    """
+    p = pairs.groupBy("a", "b").agg(F.sum("w").alias("w"))
+    n = counts.select("term", "n").where("n > 0")
+    back = p.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("w").alias("back"))
+    both = p.join(back, ["a", "b"], "left").join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    return both.select("a", "b", (F.col("w") / F.col("na") - F.coalesce("back", F.lit(0)) / F.col("nb")).alias("lead"))
+
+
+def above_average(scores: DataFrame, by: str, score: str = "score") -> DataFrame:
+    """Rows whose score exceeds the mean of their group."""
+    mean = scores.groupBy(by).agg(F.avg(score).alias("__mean"))
+    return scores.join(mean, by).where(F.col(score) > F.col("__mean")).drop("__mean")

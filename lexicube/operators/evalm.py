@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from lexicube.operators.common import running
 
-def fragments(abstract: list[str], content: list[str], skip: set[int] = frozenset(), punctuation: str = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") -> list[list[str]]:
+
+# The tokens that end a fragment.
+BREAKS = (",", ".", "?", "!", ":")
+
+
+def fragments(abstract: list[str], content: list[str], skip: set[int] = frozenset(), punctuation: tuple[str, ...] = BREAKS) -> list[list[str]]:
     """Greedy longest runs of the abstract that stand in the content, of two tokens or more.
 
-    Positions in ``skip`` (function words) start no run; punctuation ends one.
+    Positions in ``skip`` (function words) start no run; a token of ``punctuation`` ends one.
     """
     places: dict[str, list[int]] = {}
     for j, t in enumerate(content):
@@ -32,15 +39,19 @@ def fragments(abstract: list[str], content: list[str], skip: set[int] = frozense
 
 
 def extractive_fragments(pairs: DataFrame) -> DataFrame:
-    """(id, fragment array, n) of every pair (id, abstract array, content array)."""
+    """(id, fragment array, n) of every pair (id, abstract array, content array).
+
+    With a column ``skip`` (array of positions from 0) no run starts there.
+    """
+    skip = F.col("skip") if "skip" in pairs.columns else F.lit(None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [fragments(list(a), list(c)) if a is not None and c is not None else [] for a, c in zip(pdf["abstract"], pdf["content"])]
+            got = [fragments(list(a), list(c), frozenset(x if x is not None else ())) if a is not None and c is not None else [] for a, c, x in zip(pdf["abstract"], pdf["content"], pdf["skip"])]
             out = pd.DataFrame({"id": pdf["id"], "fragment": got}).explode("fragment").dropna(subset=["fragment"])
             yield out.assign(n=out["fragment"].map(len))
 
-    return pairs.select("id", "abstract", "content").mapInPandas(run, "id long, fragment array<string>, n int")
+    return pairs.select("id", "abstract", "content", skip.cast("array<int>").alias("skip")).mapInPandas(run, "id long, fragment array<string>, n int")
 
 
 def fragment_measures(frags: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -67,12 +78,16 @@ def average_precision(ranked: DataFrame, group: str) -> DataFrame:
     ``ranked`` has the group, ``score`` and ``relevant`` (0 or 1). Null without a hit.
     """
     per = ranked.groupBy(group, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("relevant").alias("r"))
-    w = Window.partitionBy(group).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.withColumn("cn", F.sum("n").over(w)).withColumn("cr", F.sum("r").over(w))
+    run = running(per, [group], [F.col("score").desc()], {"cn": F.col("n"), "cr": F.col("r")})
     agg = run.groupBy(group).agg(F.sum(F.col("r") * F.col("cr") / F.col("cn")).alias("s"), F.sum("r").alias("r"), F.sum("n").alias("n"))
     return agg.select(group, F.try_divide(F.col("s"), F.col("r")).alias("ap"), (F.col("r") / F.col("n")).alias("positive_rate"))
 
 
+def positions(ranked: DataFrame, group: str, *order: Column) -> DataFrame:
+    """``ranked`` with its ``position`` from 0 in each group; ``order`` must be total. No group is sorted by one task."""
+    return running(ranked, [group], order, {"position": F.lit(1)}).withColumn("position", F.col("position") - 1)
+
+
 def dcg(ranked: DataFrame, group: str, k: int | None = None) -> DataFrame:
     """(group, dcg): sum of gain / ln(2 + position), positions from 0 (natural logarithm)."""
     rows = ranked if k is None else ranked.where(F.col("position") < k)
@@ -92,19 +107,34 @@ def contained(rows: DataFrame, within: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, cond, "left_anti")
 
 
-def rouge_l(a: Column, b: Column, mode: str = "p") -> Column:
-    """ROUGE-L of two token arrays by dynamic programming inside the JVM: p, r or f.
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, one rolling row."""
+    code = {t: i for i, t in enumerate(dict.fromkeys(b))}
+    y = np.array([code[t] for t in b])
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    for t in a:
+        if t in code:
+            row[1:] = np.maximum(row[1:], row[:-1] + (y == code[t]))
+            np.maximum.accumulate(row, out=row)
+    return int(row[-1])
 
-    Null if either is empty or null.
-    """
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
 
-    def row(prev: Column, x: Column) -> Column:
-        step = F.transform(b, lambda y, j: F.when(x == y, F.get(prev, j) + 1).otherwise(F.get(prev, j + 1)))
-        # the longest so far from the left, over the new diagonal steps and the row above
-        return F.aggregate(step, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), v))))
+def rouge_l(pairs: DataFrame) -> DataFrame:
+    """(id, recall, precision, f1) of the longest common subsequence of ``cand`` and ``ref`` token arrays.
+
+    Null where a side is null or empty.
+    """
 
-    n = F.element_at(F.aggregate(a, zero, row), -1).cast("double")
-    p, r = n / F.size(a), n / F.size(b)
-    out = {"p": p, "r": r, "f": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))}[mode]
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, a, b in zip(pdf["id"], pdf["cand"], pdf["ref"]):
+                if a is None or b is None or not len(a) or not len(b):
+                    rows.append((i, None, None, None))
+                    continue
+                n = longest_common(list(a), list(b))
+                p, r = n / len(a), n / len(b)
+                rows.append((i, r, p, 2 * p * r / (p + r) if n else 0.0))
+            yield pd.DataFrame(rows, columns=["id", "recall", "precision", "f1"])
+
+    return pairs.select("id", "cand", "ref").mapInPandas(run, "id long, recall double, precision double, f1 double")

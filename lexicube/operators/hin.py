@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexicube.functions.vector import dot, edge_rep, sigmoid
+from lexicube.operators.common import running
+from lexicube.session import cut
 
 
 def node_ids(edges: DataFrame) -> DataFrame:
     """(type, key, local_id, node_id): dense ids per type by key, shifted by the type's offset.
 
-    Ids of a type need its order; the running number is made per range of keys: a
-    partition count first, then a number within the partition, so that no type is
-    sorted by one task.
+    The running number is made per range of keys, so no type is sorted by one task;
+    the types' offsets are one row a type.
     """
     ends = edges.select(F.col("src_type").alias("type"), F.col("src").cast("string").alias("key")).unionByName(edges.select(F.col("dst_type").alias("type"), F.col("dst").cast("string").alias("key")))
     keys = ends.where("type is not null and key is not null").distinct()
-    split = keys.repartitionByRange("type", "key").withColumn("part", F.spark_partition_id())
-    within = split.withColumn("r", F.row_number().over(Window.partitionBy("part", "type").orderBy("key")) - 1)
-    sizes = within.groupBy("type", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    every = F.coalesce(F.sum("n").over(Window.orderBy("type", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("type", "part", before.alias("b"), every.alias("g"))  # one row a partition and type
-    return within.join(F.broadcast(base), ["type", "part"]).select("type", "key", (F.col("r") + F.col("b")).cast("long").alias("local_id"), (F.col("r") + F.col("g")).cast("long").alias("node_id"))
+    local = cut(running(keys, ["type"], [F.col("key")], {"no": F.lit(1)}), "numbered")
+    size = local.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    first = size.select("type", F.coalesce(F.sum("n").over(Window.orderBy("type").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    return local.join(F.broadcast(first), "type").select("type", "key", (F.col("no") - 1).cast("long").alias("local_id"), (F.col("no") - 1 + F.col("first")).cast("long").alias("node_id"))
 
 
 def encode_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -76,3 +74,22 @@ def hinge_loss(df: DataFrame) -> DataFrame:
 def distmult(a: Column, r: Column, b: Column) -> Column:
     """Sum of a * r * b per dimension."""
     return dot(F.zip_with(a.cast("array<double>"), r.cast("array<double>"), lambda x, y: x * y), b)
+
+
+def link_labels(labels: DataFrame, nodes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """``(found, missed)``: labels that are nodes of a type, with their ids, and those that are not."""
+    n = nodes.where(F.col("type") == kind).select(F.col("key").alias("label"), "local_id", "node_id")
+    return labels.join(n, "label"), labels.join(n, "label", "left_anti")
+
+
+def cyclic_zip(a: DataFrame, b: DataFrame, key: str = "i") -> DataFrame:
+    """Row i of ``a`` with row i mod |b| of ``b``; both have dense numbers ``key`` from 0."""
+    n = b.count()
+    right = b.withColumnRenamed(key, "__j")
+    return a.join(right, F.pmod(F.col(key), F.lit(n)) == F.col("__j")).drop("__j") if n else a.limit(0).join(right)
+
+
+def clip_norm(vec: Column, most: float) -> Column:
+    """A gradient scaled down so that its length is at most ``most``."""
+    n = F.sqrt(dot(vec, vec))
+    return F.when(n > most, F.transform(vec.cast("array<double>"), lambda x: x * most / n)).otherwise(vec.cast("array<double>"))

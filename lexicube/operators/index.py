@@ -6,9 +6,12 @@ table gives an empty one. Extra columns are not read.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexicube.operators.common import top_k
+from lexicube.operators.common import join_stats, top_k
+from lexicube.session import cut, slots
 
 
 def postings(df: DataFrame, doc: str, terms: Column) -> DataFrame:
@@ -18,8 +21,8 @@ def postings(df: DataFrame, doc: str, terms: Column) -> DataFrame:
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
-    """(phrase, df)."""
-    return tf.groupBy("phrase").agg(F.count_distinct("doc_id").alias("df"))
+    """(phrase, df); ``tf`` has one row a document and phrase."""
+    return tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf(tf: DataFrame) -> DataFrame:
@@ -29,8 +32,8 @@ def idf(tf: DataFrame) -> DataFrame:
 
 
 def tfidf(tf: DataFrame) -> DataFrame:
-    """(doc_id, phrase, tf, df, score)."""
-    return tf.join(idf(tf), "phrase").select("doc_id", "phrase", "tf", "df", (F.col("tf") * F.col("idf")).alias("score"))
+    """(doc_id, phrase, tf, df, score). Words that many documents hold are joined apart (``join_stats``)."""
+    return join_stats(tf, idf(tf), ["phrase"], "df", tf.count()).select("doc_id", "phrase", "tf", "df", (F.col("tf") * F.col("idf")).alias("score"))
 
 
 def tfidf_top(tf: DataFrame, k: int = 10) -> DataFrame:
@@ -78,3 +81,71 @@ def seeds(tf: DataFrame, links: DataFrame, k: int = 3) -> DataFrame:
 def outside_words(tf: DataFrame, known: DataFrame) -> DataFrame:
     """(phrase, total) of phrases that are not in ``known``, most frequent first by total."""
     return tf.join(known.select("phrase"), "phrase", "left_anti").groupBy("phrase").agg(F.sum("tf").alias("total"))
+
+
+def unit_rows(weights: DataFrame, key: str, value: str) -> DataFrame:
+    """Weights of every key at length 1 (the sum of squares is 1)."""
+    size = weights.groupBy(key).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("__len")).where("__len > 0")
+    return weights.join(size, key).withColumn(value, F.col(value) / F.col("__len")).drop("__len")
+
+
+def sparse_nearest(queries: DataFrame, rows: DataFrame, k: int = 50, query_terms: int = 500_000, row_terms: int = 1_000_000) -> DataFrame:
+    """(set_id, doc_id, score, rank): for every query the ``k`` rows with the largest dot product, exactly.
+
+    ``queries`` (set_id, phrase, v) and ``rows`` (doc_id, phrase, w) are sparse vectors.
+    Both sides are split by a hash of their key into blocks of about ``query_terms`` and
+    ``row_terms`` entries, and each pair of blocks is one task: a product through the
+    block's own inverted lists, in strips. So words that all rows hold make no rows, and
+    what is shuffled are the vectors, once a block of the other side. Scores compare at
+    six places, ties go to the smaller id; pairs without a common phrase don't come out.
+    """
+    q = cut(queries.select("set_id", "phrase", F.col("v").cast("double").alias("v")).where("set_id is not null and phrase is not null and v is not null"), "queries")
+    r = cut(rows.select("doc_id", "phrase", F.col("w").cast("double").alias("w")).where("doc_id is not null and phrase is not null and w is not null"), "rows")
+    q_parts, r_parts = max(1, -(-q.count() // query_terms)), max(1, -(-r.count() // row_terms), slots(q.sparkSession))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # one row a key and block, terms as arrays
+    left = q.groupBy("set_id").agg(F.collect_list("phrase").alias("t"), F.collect_list("v").alias("x")).select("set_id", "t", "x", part("set_id", q_parts).alias("qp"), every(r_parts).alias("rp"))
+    right = r.groupBy("doc_id").agg(F.collect_list("phrase").alias("t"), F.collect_list("w").alias("x")).select("doc_id", "t", "x", part("doc_id", r_parts).alias("r_rp"), every(q_parts).alias("r_qp"))
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"set_id": [], "doc_id": [], "score": []})
+        if not len(a) or not len(b):
+            return none
+        a, b = a.sort_values("set_id"), b.sort_values("doc_id")
+        qn = np.repeat(np.arange(len(a)), a["t"].map(len))
+        words = pd.Index(np.concatenate(list(a["t"]))).unique()
+        code, v = words.get_indexer(np.concatenate(list(a["t"]))), np.concatenate(list(a["x"]))
+        order = np.argsort(code, kind="stable")
+        qn, v, start = qn[order], v[order], np.searchsorted(code[order], np.arange(len(words) + 1))
+        doc = np.repeat(np.arange(len(b)), b["t"].map(len))
+        at, w = words.get_indexer(np.concatenate(list(b["t"]))), np.concatenate(list(b["x"]))
+        doc, at, w = doc[at >= 0], at[at >= 0], w[at >= 0]
+        sets, docs = a["set_id"].to_numpy(), b["doc_id"].to_numpy()
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        strip = max(1, 4_000_000 // len(a))
+        for first in range(0, len(b), strip):
+            lo, hi = np.searchsorted(doc, (first, first + strip))
+            count = np.diff(start)[at[lo:hi]]
+            ends = np.cumsum(count)
+            n = min(strip, len(b) - first)
+            dots = np.zeros(n * len(a))
+            # so many products at a time that they fit in memory
+            for i in range(0, hi - lo, chunk := max(1, int(8_000_000 / max(1.0, count.mean() if hi > lo else 1)))):
+                c = count[i : i + chunk]
+                base = np.repeat(start[at[lo + i : lo + i + len(c)]] - (ends[i : i + chunk] - c) + (ends[i] - c[0]), c) + np.arange(c.sum())
+                dots += np.bincount(np.repeat(doc[lo + i : lo + i + len(c)] - first, c) * len(a) + qn[base], np.repeat(w[lo + i : lo + i + len(c)], c) * v[base], minlength=len(dots))
+            score = np.round(dots.reshape(n, len(a)).T, 6)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # rows are in order of their id
+            s, j = np.nonzero(np.take_along_axis(score, top, 1) != 0)
+            j = top[s, j]
+            best.append((s, j + first, dots.reshape(n, len(a)).T[s, j]))
+        s, j, x = (np.concatenate(c) for c in zip(*best))
+        order = np.lexsort((j, -np.round(x, 6), s))
+        s, j, x = s[order], j[order], x[order]
+        keep = np.arange(len(s)) - np.searchsorted(s, s) < k
+        return pd.DataFrame({"set_id": sets[s[keep]], "doc_id": docs[j[keep]], "score": x[keep]})
+
+    kind = {c: d.schema[c].dataType.simpleString() for d, c in ((q, "set_id"), (r, "doc_id"))}
+    found = left.groupBy("qp", "rp").cogroup(right.groupBy("r_qp", "r_rp")).applyInPandas(tile, f"set_id {kind['set_id']}, doc_id {kind['doc_id']}, score double")
+    return top_k(found, ["set_id"], [F.round("score", 6).desc(), F.col("doc_id")], k)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexicube.session import cut, drop_cut
 
+#: A set's graph of up to so many edges is one task (24 bytes an edge); larger ones are walked in joins.
+MOST_EDGES = 2_000_000
 _SCORES = "set_id long, node string, score double"
 
 
@@ -101,9 +103,79 @@ def _per_set(edges: DataFrame, f) -> DataFrame:
     return good.select("set_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("w").cast("double").alias("w")).groupBy("set_id").applyInPandas(run, _SCORES)
 
 
-def textrank_sets(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(set_id, node, score); edges are directed src -> dst, give both directions of a symmetric graph."""
-    return _per_set(edges, lambda a, b, w, n, _: textrank(a, b, w, n, rounds=rounds))
+def textrank_sets(edges: DataFrame, rounds: int | None = None, damping: float = 0.85, most_edges: int = MOST_EDGES) -> DataFrame:
+    """(set_id, node, score); edges are directed src -> dst, give both directions of a symmetric graph.
+
+    A set of up to ``most_edges`` edges is one numpy task; larger ones are walked in joins,
+    with the same recurrence and stop rule.
+    """
+    e = cut(edges.where("set_id is not null and src is not null and dst is not null and w is not null").select("set_id", "src", "dst", "w"), "edges")
+    large = cut(e.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_edges).select("set_id"), "large")
+    walk = lambda a, b, w, n, _: textrank(a, b, w, n, damping, rounds=rounds)
+    if large.isEmpty():
+        return _per_set(e, walk)
+    return _per_set(e.join(large, "set_id", "left_anti"), walk).unionByName(_walk_joined(e.join(large, "set_id", "left_semi"), damping, rounds))
+
+
+def _walk_joined(edges: DataFrame, damping: float, rounds: int | None, tolerance: float = 1e-4) -> DataFrame:
+    e = edges.select(F.col("set_id").cast("long").alias("set_id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("w").cast("double").alias("w"))
+    nodes = e.select("set_id", F.col("src").alias("node")).unionByName(e.select("set_id", F.col("dst").alias("node"))).distinct()
+    nodes = cut(nodes, "nodes")
+    off = e.where("src <> dst")
+    p = cut(off.join(off.groupBy("set_id", "src").agg(F.sum("w").alias("t")), ["set_id", "src"]).select("set_id", "src", "dst", (F.col("w") / F.col("t")).alias("p")), "steps")
+    n = nodes.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+    now = cut(nodes.join(n, "set_id").select("set_id", "node", (1 / F.col("n")).alias("score")), "rank")
+    done: list[DataFrame] = []
+    for i in range(rounds or 10_000):
+        got = p.join(now.withColumnRenamed("node", "src"), ["set_id", "src"]).groupBy("set_id", F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("score")).alias("in"))
+        new = now.join(got, ["set_id", "node"], "left").select("set_id", "node", (damping * F.coalesce("in", F.lit(0.0)) + 1 - damping).alias("score"), F.col("score").alias("old"))
+        new = cut(new, "rank")
+        drop_cut(now)
+        now = new.drop("old")
+        now._lexicube_path = new._lexicube_path
+        if rounds is None:
+            change = new.groupBy("set_id").agg(F.sqrt(F.sum((F.col("score") - F.col("old")) ** 2)).alias("c"))
+            still = cut(change.where(F.col("c") >= tolerance).select("set_id"), "still")
+            done.append(cut(now.join(still, "set_id", "left_anti"), "done"))
+            now = cut(now.join(still, "set_id", "left_semi"), "rank")
+            if still.isEmpty():
+                break
+    for d in done:
+        now = now.unionByName(d)
+    return now
+
+
+def manifold_sets(edges: DataFrame, prior: DataFrame, alpha: float = 0.7, rounds: int = 100) -> DataFrame:
+    """(set_id, node, score): walks that return to a prior (set_id, node, weight), scaled to sum 1 per set.
+
+    Nodes are those of the edges; without a prior they weigh 0.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        e, y = pdf[pdf["dst"].notna()], pdf[pdf["dst"].isna()]
+        nodes, pos = np.unique(np.concatenate((e["src"].to_numpy(str), e["dst"].to_numpy(str))), return_inverse=True)
+        weight = dict(zip(y["src"], y["w"]))
+        start = np.array([weight.get(x, 0.0) for x in nodes])
+        return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "node": nodes, "score": manifold(pos[: len(e)], pos[len(e) :], e["w"].to_numpy(float), start, alpha, rounds)})
+
+    e = edges.where("set_id is not null and src is not null and dst is not null and w is not null").select(F.col("set_id").cast("long").alias("set_id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("w").cast("double").alias("w"))
+    y = prior.select(F.col("set_id").cast("long").alias("set_id"), F.col("node").cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("weight").cast("double").alias("w"))
+    return e.unionByName(y.join(e.select("set_id").distinct(), "set_id", "left_semi")).groupBy("set_id").applyInPandas(run, _SCORES)
+
+
+def seed_rank_sets(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, terms: int = 200) -> DataFrame:
+    """(set_id, node, score): seed walks (1 - a)(I - aS)^-1 x per set, x the weights of the seeds (set_id, node, weight)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        e, y = pdf[pdf["dst"].notna()], pdf[pdf["dst"].isna()]
+        nodes, pos = np.unique(np.concatenate((e["src"].to_numpy(str), e["dst"].to_numpy(str))), return_inverse=True)
+        weight = dict(zip(y["src"], y["w"]))
+        start = np.array([weight.get(x, 0.0) for x in nodes])
+        return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "node": nodes, "score": seed_rank(pos[: len(e)], pos[len(e) :], e["w"].to_numpy(float), start, alpha, terms)})
+
+    e = edges.where("set_id is not null and src is not null and dst is not null and w is not null").select(F.col("set_id").cast("long").alias("set_id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("w").cast("double").alias("w"))
+    y = seeds.select(F.col("set_id").cast("long").alias("set_id"), F.col("node").cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("weight").cast("double").alias("w"))
+    return e.unionByName(y.join(e.select("set_id").distinct(), "set_id", "left_semi")).groupBy("set_id").applyInPandas(run, _SCORES)
 
 
 def cores_sets(edges: DataFrame) -> DataFrame:
@@ -161,36 +233,68 @@ def pagerank_large(edges: DataFrame, damping: float = 0.5, rounds: int = 10, bia
     return rank
 
 
-def contrast(target: DataFrame, background: DataFrame, seeds: DataFrame, k: int = 100, rounds: int = 10) -> DataFrame:
-    """(set_id, node, score): phrases the target walk prefers to the background walk.
+def window_graph(docs: list[list[int]], window: int, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symmetric edges of terms (as numbers) at most ``window`` places apart.
 
-    ``target`` and ``background`` are symmetric edge lists per set, ``seeds`` (set_id,
-    node). Each round ranks both graphs from the seeds and the last picks by the seed
-    walk, keeps target phrases whose lead exceeds the mean lead over all phrases, and
-    picks the k best for the next round. Ties by phrase. Sets without an edge don't
-    come out.
+    Counted at every place, or with ``once`` each unordered pair once a document.
+    """
+    a, b = [], []
+    for d in docs:
+        x = np.asarray(d, dtype=np.int64)
+        i = np.concatenate([x[:-o] for o in range(1, window + 1) if len(x) > o] or [x[:0]])
+        j = np.concatenate([x[o:] for o in range(1, window + 1) if len(x) > o] or [x[:0]])
+        if once and len(i):
+            i, j = np.unique(np.stack((np.minimum(i, j), np.maximum(i, j))), axis=1)
+        a.append(i)
+        b.append(j)
+    i, j = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
+    i, j = np.concatenate((i, j)), np.concatenate((j, i))
+    if not len(i):
+        return i, j, np.zeros(0)
+    both, n = np.unique(np.stack((i, j)), axis=1, return_counts=True)
+    return both[0], both[1], n.astype(float)
+
+
+def contrast(target: DataFrame, background: DataFrame, seeds: DataFrame, k: int = 100, rounds: int = 10, window: int = 4, terms: int = 200) -> DataFrame:
+    """(set_id, node, score): terms the walk on a set's own graph prefers to that on its background.
+
+    ``target`` and ``background`` (set_id, tokens) are the documents of a set and those it
+    is compared with, ``seeds`` (set_id, node) its seeds. The background graph counts pairs
+    of terms up to ``window`` places apart, the own graph each pair once a document.
+    Each round walks both graphs from the seeds and the last picks, keeps own terms whose
+    lead exceeds the mean lead over all terms of both, and picks the ``k`` best (leads at
+    nine places, ties by term) for the next round; the last picks come out with their lead.
+
+    A set is a bounded unit: its documents and the few retrieved for it. Sets without a
+    document or a term don't come out; without a background its walk stays at the seeds.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf[pdf["kind"] != "seed"]
-        nodes, pos = np.unique(np.concatenate((e["src"].to_numpy(str), e["dst"].to_numpy(str))), return_inverse=True)
-        a, b, w = pos[: len(e)], pos[len(e) :], e["w"].to_numpy(float)
-        t = (e["kind"] == "target").to_numpy()
-        own = np.zeros(len(nodes), bool)
-        own[a[t]] = own[b[t]] = True
-        seed = np.isin(nodes, pdf.loc[pdf["kind"] == "seed", "src"].to_numpy(str)).astype(float)
+        own, other = pdf["kind"] == "t", pdf["kind"] == "b"
+        docs = [np.asarray(x, dtype=str) for x in pdf.loc[own | other, "tokens"]]
+        t = own[own | other].to_numpy()
+        nodes, pos = np.unique(np.concatenate(docs), return_inverse=True)
+        if not t.any():
+            return pd.DataFrame({"set_id": [], "node": [], "score": []})
+        each = np.split(pos, np.cumsum([len(d) for d in docs])[:-1])
+        mine = np.zeros(len(nodes), bool)
+        mine[np.concatenate([x for x, y in zip(each, t) if y])] = True
+        ta, tb, tw = window_graph([x for x, y in zip(each, t) if y], window, True)
+        ba, bb, bw = window_graph([x for x, y in zip(each, t) if not y], window, False)
+        seed = np.isin(nodes, np.concatenate([np.asarray(x, dtype=str) for x in pdf.loc[~(own | other), "tokens"]] or [np.zeros(0, str)])).astype(float)
         picked: np.ndarray | None = None
         for _ in range(rounds):
             x = seed.copy()
             if picked is not None:
                 x[picked] += 0.85
-            lead = seed_rank(a[t], b[t], w[t], x) - seed_rank(a[~t], b[~t], w[~t], x)
-            good = np.flatnonzero(own & (lead > lead.mean()))
+            lead = np.round(seed_rank(ta, tb, tw, x, terms=terms) - seed_rank(ba, bb, bw, x, terms=terms), 9)
+            good = np.flatnonzero(mine & (lead > np.round(lead.mean(), 9)))
             picked = good[np.lexsort((nodes[good], -lead[good]))][:k]
         return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "node": nodes[picked], "score": lead[picked]})
 
-    cols = lambda df, kind: df.select(F.col("set_id").cast("long").alias("set_id"), "src", "dst", F.col("w").cast("double").alias("w"), F.lit(kind).alias("kind"))
-    s = seeds.select(F.col("set_id").cast("long").alias("set_id"), F.col("node").alias("src"), F.lit("").alias("dst"), F.lit(0.0).alias("w"), F.lit("seed").alias("kind"))
-    sets = target.select(F.col("set_id").cast("long").alias("set_id")).distinct()
-    every = cols(target, "target").unionByName(cols(background, "background")).unionByName(s).join(sets, "set_id", "left_semi")
+    sid = F.col("set_id").cast("long").alias("set_id")
+    docs = lambda df, kind: df.where("set_id is not null and size(tokens) > 0").select(sid, "tokens", F.lit(kind).alias("kind"))
+    s = seeds.groupBy(sid).agg(F.collect_list("node").alias("tokens")).withColumn("kind", F.lit("s"))
+    own = docs(target, "t")
+    every = own.unionByName(docs(background, "b")).unionByName(s).join(own.select("set_id").distinct(), "set_id", "left_semi")
     return every.groupBy("set_id").applyInPandas(run, _SCORES)

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexicube.functions import text as T, vector as V
 from lexicube.operators import assign, cooc, cube, distinct, evalm, hier, hin, index, rank, select, sentence
-from lexicube.operators.common import current_rows, sample_k
-from lexicube.plans import load, sql as S, summarize
+from lexicube.operators.common import current_rows, sample_k, top_k
+from lexicube.plans import load, sql as S
 from lexicube.session import cut, table
 from lexicube.sources import readers
 from lexicube.streaming import counts
@@ -248,9 +248,7 @@ SELECT set_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 50"""
 def knn_tfidf(spark, d):
     x = cut(index.tfidf(cut(word_tf(spark, d), "tf")).select("doc_id", "phrase", F.col("score").alias("w")), "weights")
     s = x.join(table(spark, d, "documents").select("doc_id", "set_id").where("set_id is not null"), "doc_id").groupBy("set_id", "phrase").agg(F.sum("w").alias("v"))
-    q = s.join(x, "phrase").groupBy("set_id", "doc_id").agg(F.sum(F.col("v") * F.col("w")).alias("score"))
-    w = Window.partitionBy("set_id").orderBy(F.round("score", 6).desc(), "doc_id")
-    return q.withColumn("rank", F.row_number().over(w)).where("rank <= 50").select("set_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return index.sparse_nearest(s, x, 50).select("set_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 # co-occurrence -----------------------------------------------------------------
@@ -341,20 +339,6 @@ def phrase_textrank(spark, d):
     return rank.textrank_sets(_phrase_edges(spark, d), rounds=20).select("set_id", "node", r6("score"))
 
 
-@query()
-def phrase_cores(spark, d):
-    """Weighted core numbers of every set's word graph."""
-    e = _phrase_edges(spark, d).where("src < dst")
-    return rank.cores_sets(e).select("set_id", "node", r6("score"))
-
-
-@query()
-def core_rank(spark, d):
-    """Sum of the neighbours' core numbers."""
-    e = cut(_phrase_edges(spark, d).where("src < dst"), "edges")
-    return rank.core_rank(e, cut(rank.cores_sets(e), "cores")).select("set_id", "node", r6("score"))
-
-
 @query("""WITH RECURSIVE ed AS (SELECT o_custkey AS src, l_suppkey AS dst, count(*)::DOUBLE AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
 al AS (SELECT 'c' || src AS src, 's' || dst AS dst, w FROM ed UNION ALL SELECT 's' || dst, 'c' || src, w FROM ed),
 pr AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM al), nd AS (SELECT DISTINCT src AS node FROM al), n AS (SELECT count(*) AS n FROM nd),
@@ -369,24 +353,6 @@ def pagerank_global(spark, d):
     return rank.pagerank_large(both, 0.5, 5).select("node", F.round("score", 9).alias("score"))
 
 
-@query()
-def mmr_summary(spark, d):
-    """Coverage summaries of every set, words scored by tf-idf within the collection of sets."""
-    return summarize.coverage(_sents(spark, d))
-
-
-@query()
-def sumdocs_contrast(spark, d):
-    """Summaries from phrases that the set's own walk prefers to that of its background."""
-    return summarize.contrast_summaries(spark, d, _sents(spark, d), _phrase_edges(spark, d))
-
-
-@query()
-def sumdocs_textrank(spark, d):
-    """Summaries by word TextRank alone, without background."""
-    s = _sents(spark, d)
-    return summarize.from_scores(s, rank.textrank_sets(_phrase_edges(spark, d), rounds=20).withColumnRenamed("node", "phrase"))
-
 
 # distinctness, fusion -------------------------------------------------------------
 
@@ -524,25 +490,6 @@ def _news(spark, d):
     return current_rows(table(spark, d, "news"), ["doc_id"], "ingested_at")
 
 
-@query()
-def extractive_fragments(spark, d):
-    """Coverage, density and compression of the abstracts of the current news."""
-    words = lambda c: T.tokens(F.array_join(c, " "))
-    p = cut(_news(spark, d).select(F.col("doc_id").alias("id"), words("abstract_sents").alias("abstract"), words("content_sents").alias("content")), "news")
-    return evalm.fragment_measures(evalm.extractive_fragments(p), p).select("id", r6("coverage"), r6("density"), r6("compression"))
-
-
-@query(f"""WITH c AS (SELECT doc_id AS id, unnest(x.a) AS text FROM (SELECT doc_id, arg_max(struct_pack(a := abstract_sents), ingested_at) AS x FROM news GROUP BY doc_id)),
-ph AS (SELECT DISTINCT doc_id AS id, {S.CANON.format('p')} AS phrase FROM (SELECT doc_id, unnest(x.p) AS p FROM (SELECT doc_id, arg_max(struct_pack(p := phrases), ingested_at) AS x FROM news GROUP BY doc_id)) WHERE p IS NOT NULL),
-n AS (SELECT id, count(*) AS n FROM c GROUP BY id), h AS (SELECT ph.id, count(DISTINCT phrase) AS hit FROM ph JOIN c USING (id) WHERE phrase <> '' AND contains(lower(text), phrase) GROUP BY ph.id)
-SELECT id, round(coalesce(hit, 0) / n, 6) AS precision FROM n LEFT JOIN h USING (id)""")
-def fragment_match(spark, d):
-    n = cut(_news(spark, d).select(F.col("doc_id").alias("id"), "phrases", "abstract_sents"), "news")
-    frags = n.select("id", F.explode("abstract_sents").alias("text")).withColumn("text", F.lower("text"))
-    phrases = n.select("id", F.explode("phrases").alias("p")).select("id", T.canonical_phrase(F.col("p")).alias("phrase")).where("phrase <> ''").distinct()
-    return evalm.phrase_precision(phrases, frags).select("id", r6("precision"))
-
-
 _GOLD = f"{S.ASSIGN}, rel AS (SELECT sc.label, sc.doc_id, round(score, 9) AS score, (e.label = sc.label)::INT AS relevant FROM sc JOIN embeddings e ON e.vec_id = sc.doc_id)"
 
 
@@ -559,25 +506,14 @@ def avg_precision(spark, d):
 
 @query(f"WITH {_GOLD}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, doc_id) - 1 AS position FROM rel) SELECT label, round(sum(relevant / ln(2 + position)), 6) AS dcg FROM k GROUP BY label")
 def dcg(spark, d):
-    w = Window.partitionBy("label").orderBy(F.col("score").desc(), "doc_id")
-    r = _gold(spark, d).withColumn("position", F.row_number().over(w) - 1).withColumn("gain", F.col("relevant").cast("double"))
-    return evalm.dcg(r, "label").select("label", r6("dcg"))
+    r = evalm.positions(_gold(spark, d), "label", F.col("score").desc(), F.col("doc_id"))
+    return evalm.dcg(r.withColumn("gain", F.col("relevant").cast("double")), "label").select("label", r6("dcg"))
 
 
 @query(f"WITH {_GOLD}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, doc_id) AS rank FROM rel) SELECT label, k, round(sum(relevant) / k, 6) AS precision FROM k, (SELECT unnest([10, 15, 20, 25, 30]) AS k) x WHERE rank <= k GROUP BY label, k")
 def precision_at_k(spark, d):
-    w = Window.partitionBy("label").orderBy(F.col("score").desc(), "doc_id")
-    return evalm.top_precision(_gold(spark, d).withColumn("rank", F.row_number().over(w)), "label", [10, 15, 20, 25, 30]).select("label", "k", r6("precision"))
-
-
-@query()
-def rouge_abstracts(spark, d):
-    """ROUGE-1, -2 and -L of the first content sentence against the abstract."""
-    t = lambda c: T.tokens(c)
-    p = cut(_news(spark, d).select(F.col("doc_id").alias("id"), t(F.get("content_sents", F.lit(0))).alias("cand"), t(F.array_join("abstract_sents", " ")).alias("ref")), "pairs")
-    one = sentence.rouge_n(p, 1).select("id", r6("f1", "rouge_1"))
-    two = sentence.rouge_n(p, 2).select("id", r6("f1", "rouge_2"))
-    return one.join(two, "id").join(p.select("id", r6(evalm.rouge_l(F.col("cand"), F.col("ref"), "f"), "rouge_l")), "id")
+    first = top_k(_gold(spark, d), ["label"], [F.col("score").desc(), F.col("doc_id")], 30)
+    return evalm.top_precision(first, "label", [10, 15, 20, 25, 30]).select("label", "k", r6("precision"))
 
 
 @query("SELECT doc_id, list_filter(list_transform(x.t, lambda p: CASE string_split(p, '/')[-1] WHEN 'Courts' THEN 'law' WHEN 'Golf' THEN 'sport' END), lambda v: v IS NOT NULL)[-1] AS label FROM (SELECT doc_id, arg_max(struct_pack(t := type_path), ingested_at) AS x FROM news GROUP BY doc_id)")
@@ -585,12 +521,6 @@ def path_labels(spark, d):
     return readers.path_labels(_news(spark, d), "doc_id", "type_path", {"Courts": "law", "Golf": "sport"})
 
 
-@query()
-def sample_siblings(spark, d):
-    """Ten documents of every source by a seeded hash."""
-    return sample_k(table(spark, d, "documents").where("source is not null"), ["source"], "doc_id", 10, 7).select("source", "doc_id")
-
-
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_counts(spark, d):
     return counts.windowed_counts(table(spark, d, "events")).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))

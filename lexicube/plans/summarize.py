@@ -1,13 +1,34 @@
-"""Whole summarisation queries: score phrases, then choose sentences per set."""
+"""Whole summarisation queries: score phrases, then choose sentences per set.
+
+Target sets are groups of texts; the background is a collection of its own. A set's
+documents are compared with those the background gives back for it, and with sibling
+cells of labelled background documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, functions as F
 
-from lexicube.functions import text as T
-from lexicube.operators import cooc, cube, rank, select
+from lexicube.operators import assign, cooc, cube, index, rank, select
 from lexicube.operators.common import top_k
-from lexicube.session import cut, table
+from lexicube.session import cut
+
+METHODS = ("caseOLAP", "caseOLAP-twin", "sumdocs", "sumdocs_wo_twins", "sumdocs_textrank", "graph_degen")
+
+
+@dataclass
+class Collection:
+    """What the methods read.
+
+    ``docs`` (set_id, doc_no, tokens) the sets' documents, ``background`` (doc_id, tokens),
+    ``assigned`` (doc_id, label, margin) labels of background documents.
+    """
+
+    docs: DataFrame
+    background: DataFrame
+    assigned: DataFrame
 
 
 def from_scores(sents: DataFrame, scores: DataFrame, budget: int = 200) -> DataFrame:
@@ -16,39 +37,88 @@ def from_scores(sents: DataFrame, scores: DataFrame, budget: int = 200) -> DataF
     return picks.join(sents.select("set_id", "sent_no", "sentence"), ["set_id", "sent_no"])
 
 
-def coverage(sents: DataFrame, budget: int = 200) -> DataFrame:
-    """Words scored by tf-idf, a set being one document of the collection of sets."""
-    from lexicube.operators import index
-
+def set_tfidf(sents: DataFrame) -> DataFrame:
+    """(set_id, phrase, score): tf-idf of a set's words, a set being one document of the collection of sets."""
     tf = cut(sents.select(F.col("set_id").alias("doc_id"), F.explode("tokens").alias("phrase")).groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("tf")), "tf")
-    return from_scores(sents, index.tfidf(tf).select(F.col("doc_id").alias("set_id"), "phrase", "score"), budget)
+    return index.tfidf(tf).select(F.col("doc_id").alias("set_id"), "phrase", "score")
 
 
-def background_edges(docs: DataFrame) -> DataFrame:
-    """(set_id, src, dst, w): window counts of the words of all documents of every set.
+def coverage(sents: DataFrame, budget: int = 200) -> DataFrame:
+    """Summaries by :func:`set_tfidf`."""
+    return from_scores(sents, set_tfidf(sents), budget)
+
+
+def retrieve(c: Collection, k: int = 50) -> DataFrame:
+    """(set_id, doc_id, score, rank): the background documents a set is compared with.
 
-    Counts are added up before they are mirrored and before a set goes to one task, so a
-    set with a tenth of all documents is there only as its distinct pairs of words.
+    The ``k`` documents with the largest sum of tf-idf cosines to the set's documents, of
+    the whole background. idf is that of the background; words it lacks don't count.
     """
-    p = cooc.window_pairs(docs.where("set_id is not null and text is not null"), "set_id", T.tokens(F.col("text")), 4)
-    once = p.groupBy("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    # a pair of equal terms adds 2
-    w = F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n")).cast("double").alias("w")
-    ends = F.array_distinct(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
-    return once.select(F.col("key").alias("set_id"), F.explode(ends).alias("e"), w).select("set_id", "e.src", "e.dst", "w")
+    tf = cut(index.postings(c.background, "doc_id", F.col("tokens")), "tf")
+    idf = cut(index.idf(tf).select("phrase", "df", "idf"), "idf")
+    rows = index.unit_rows(index.join_stats(tf, idf, ["phrase"], "df", tf.count()).select("doc_id", "phrase", (F.col("tf") * F.col("idf")).alias("w")), "doc_id", "w")
+    own = c.docs.where("set_id is not null").select("set_id", "doc_no", F.explode("tokens").alias("phrase")).groupBy("set_id", "doc_no", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+    one = cut(own.join(idf, "phrase").select(F.struct("set_id", "doc_no").alias("key"), "phrase", (F.col("tf") * F.col("idf")).alias("v")), "own")
+    sums = index.unit_rows(one, "key", "v").groupBy(F.col("key.set_id").alias("set_id"), "phrase").agg(F.sum("v").alias("v"))
+    return index.sparse_nearest(sums, rows, k)
+
+
+def siblings(c: Collection, per_label: int = 100) -> DataFrame:
+    """(cell, phrase, tf, df): words of the ``per_label`` surest background documents of every label."""
+    top = assign.rank_in_label(c.assigned, "margin", per_label).select(F.col("label").cast("string").alias("cell"), "doc_id")
+    docs = c.background.select("doc_id", "tokens").join(F.broadcast(top), "doc_id")  # labels are a fixed list, so top is bounded
+    return cube.cell_counts(index.postings(docs, "doc_id", F.col("tokens")), top)
 
 
-def contrast_summaries(spark: SparkSession, folder: str, sents: DataFrame, target: DataFrame, k: int = 100, rounds: int = 10) -> DataFrame:
-    """Summaries from target-minus-background contrast.
+def categories(c: Collection, found: DataFrame) -> DataFrame:
+    """(set_id, cell): the label most of a set's retrieved documents have; sets without a labelled one are left out."""
+    vote = assign.majority_label(c.assigned, found.select("set_id", "doc_id"))
+    return vote.select("set_id", F.col("label").cast("string").alias("cell"))
 
-    Per set: the background is all documents of its ``set_id``; phrases are scored as a
-    cube cell against the other sets; the ten best seed walks on the set's own word graph
-    and on that of its background; what the own walk prefers scores the sentences.
+
+def phrase_scores(c: Collection, method: str = "sumdocs", topk: int = 100, rounds: int = 10, terms: int = 200, retrieved: DataFrame | None = None) -> DataFrame:
+    """(set_id, phrase, score) of every set by one of ``METHODS``.
+
+    * ``caseOLAP``: the 30 best words of the set as a cell against sibling cells;
+      ``caseOLAP-twin`` times its distinctness against the cell of its own category;
+    * ``sumdocs``: seeds are the ten best cell scores; what the walk on the set's own
+      graph prefers to that on the graph of its retrieved documents;
+    * ``sumdocs_wo_twins``: the seed walk on the own graph alone;
+    * ``sumdocs_textrank``: the plain walk on window counts; ``graph_degen``: core numbers.
+
+    ``retrieved`` (set_id, doc_id) replaces :func:`retrieve`, for another kind of search.
     """
-    tf = cut(sents.select("set_id", F.explode("tokens").alias("phrase")).groupBy("set_id", "phrase").agg(F.count(F.lit(1)).alias("tf")), "tf")
-    # every set is a cell of its own, its texts are one document of it
-    scores = cube.cell_scores(tf.select(F.col("set_id").alias("doc_id"), "phrase", "tf"), tf.select(F.col("set_id").alias("cell"), F.col("set_id").alias("doc_id")).distinct(), "A")
-    seeds = top_k(scores.select(F.col("cell").alias("set_id"), F.col("phrase").alias("node"), "score"), ["set_id"], [F.col("score").desc(), F.col("node")], 10).select("set_id", "node")
-    back = background_edges(table(spark, folder, "documents").select("set_id", "text"))
-    got = rank.contrast(cut(target, "target"), back, seeds, k, rounds)
-    return from_scores(sents, got.withColumnRenamed("node", "phrase"))
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    best = lambda df, k: top_k(df, ["set_id"], [F.round("score", 9).desc(), F.col("phrase")], k).select("set_id", "phrase", "score")
+    if method in ("sumdocs_textrank", "graph_degen"):
+        first = 1 if method == "sumdocs_textrank" else 0
+        p = cooc.window_pairs(c.docs.where("set_id is not null"), "set_id", F.col("tokens"), 4, first)
+        once = p.groupBy(F.col("key").alias("set_id"), F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+        if first:
+            both = once.unionByName(once.select("set_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+            got = rank.textrank_sets(both.groupBy("set_id", "src", "dst").agg(F.sum("w").alias("w")))
+            return best(got.withColumnRenamed("node", "phrase"), topk)
+        return rank.cores_sets(once.where("src <> dst")).withColumnRenamed("node", "phrase")
+    found = cut((retrieve(c) if retrieved is None else retrieved).select("set_id", "doc_id"), "retrieved")
+    sib, cat = cut(siblings(c), "siblings"), cut(categories(c, found), "categories")
+    scored = cut(cube.set_scores(c.docs, sib, cat), "scores")
+    if method == "caseOLAP":
+        return best(scored, 30)
+    if method == "caseOLAP-twin":
+        twin = cut(cube.set_scores(c.docs, sib, cat, twin=True), "twins")
+        both = scored.join(twin.select("set_id", "phrase", F.col("distinct").alias("d")), ["set_id", "phrase"])
+        return best(both.select("set_id", "phrase", (F.col("score") * F.col("d")).alias("score")), 30)
+    seeds = best(scored.where("trim(phrase) <> ''"), 10).select("set_id", F.col("phrase").alias("node"))
+    if method == "sumdocs_wo_twins":
+        e = cooc.window_pairs(c.docs.where("set_id is not null").withColumn("key", F.struct("set_id", "doc_no")), "key", F.col("tokens"), 4)
+        once = e.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().groupBy(F.col("key.set_id").alias("set_id"), "a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
+        both = once.select("set_id", F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(once.where("a <> b").select("set_id", F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
+        return best(rank.seed_rank_sets(both, seeds.withColumn("weight", F.lit(1.0)), terms=terms).withColumnRenamed("node", "phrase"), topk)
+    back = found.join(c.background.select("doc_id", "tokens"), "doc_id").select("set_id", "tokens")
+    return rank.contrast(c.docs, back, seeds, topk, rounds, terms=terms).withColumnRenamed("node", "phrase")
+
+
+def summarise(c: Collection, sents: DataFrame, method: str = "sumdocs", budget: int = 200) -> DataFrame:
+    """Summaries of every set: phrases by ``method``, sentences by coverage within ``budget`` tokens."""
+    return from_scores(sents, phrase_scores(c, method), budget)

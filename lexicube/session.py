@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 
@@ -22,6 +23,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lexicube-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -36,12 +38,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) a folder of our own is made.
+    Where that is unset, a session of one process (``local[…]``) gets a folder of its
+    own; on a cluster it is an error, since executors would write to their own disks.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lexicube-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -53,8 +58,8 @@ def delete(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone; leftovers lie in the scratch folder
-        pass
+    except Exception as e:  # the session may be gone; leftovers lie in the scratch folder
+        logging.getLogger(__name__).debug("%s is left behind: %s", path, e)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
