@@ -51,12 +51,12 @@ on2 AS (SELECT set_id, doc_no, sqrt(sum(v * v)) AS n FROM ow GROUP BY ALL HAVING
 os AS (SELECT set_id, phrase, sum(v / n) AS v FROM ow JOIN on2 USING (set_id, doc_no) GROUP BY ALL),
 bw AS (SELECT doc_id, phrase, tf * idf AS w FROM tf JOIN idf USING (phrase)), bn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM bw GROUP BY doc_id HAVING sum(w * w) > 0),
 dots AS (SELECT set_id, doc_id, sum(v * w / n) AS score FROM os JOIN bw USING (phrase) JOIN bn USING (doc_id) GROUP BY ALL HAVING round(sum(v * w / n), 6) <> 0),
-near AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM dots QUALIFY rank <= 50)"""
+near AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM dots QUALIFY rank <= 50)"""
 _SIBS = f"""{_NEAR}, {S.ASSIGN},
 sibd AS (SELECT label, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY margin DESC, doc_id) AS r FROM best) WHERE r <= 100),
-sib AS (SELECT label, phrase, sum(tf) AS tf, count(*) AS df FROM sibd JOIN tf USING (doc_id) GROUP BY ALL),
+sib AS MATERIALIZED (SELECT label, phrase, sum(tf) AS tf, count(*) AS df FROM sibd JOIN tf USING (doc_id) GROUP BY ALL),
 vote AS (SELECT set_id, label FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY n DESC, label) AS r FROM (SELECT set_id, label, count(*) AS n FROM near JOIN best USING (doc_id) GROUP BY set_id, label)) WHERE r = 1),
-mine AS (SELECT set_id, phrase, sum(tf) AS tf, count(*) AS df FROM otf GROUP BY ALL),
+mine AS MATERIALIZED (SELECT set_id, phrase, sum(tf) AS tf, count(*) AS df FROM otf GROUP BY ALL),
 sst AS (SELECT label, sum(tf) AS dl, max(df) AS max_df FROM sib GROUP BY label), mst AS (SELECT set_id, sum(tf) AS dl, max(df) AS max_df FROM mine GROUP BY set_id)"""
 _REL = "CASE WHEN {tf} > 0 THEN 3 * {tf} * 2.2 / ({tf} + 1.2 * (0.5 + 0.5 * {dl} / avgdl)) * log2(1 + {df}) / log2(1 + {mdf}) ELSE 0 END"
 
@@ -100,15 +100,19 @@ def caseolap_twin_phrases(spark, d):
     return summarize.phrase_scores(_collection(spark, d), "caseOLAP-twin").select("set_id", "phrase", r6("score"))
 
 
-_SEEDS = "seeds AS (SELECT set_id, phrase AS node FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY round(score, 9) DESC, phrase) AS r FROM cell) WHERE r <= 10)"
+_SEEDS = "seeds AS MATERIALIZED (SELECT set_id, phrase AS node FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY round(score, 9) DESC, phrase) AS r FROM cell) WHERE r <= 10)"
 _OWN_GRAPH = """otk AS (SELECT set_id, doc_no, tokens[i] AS a, unnest(tokens[i + 1 : i + 4]) AS b FROM (SELECT *, generate_subscripts(tokens, 1) AS i FROM own)),
 oe1 AS (SELECT set_id, a, b, count(*)::DOUBLE AS w FROM (SELECT DISTINCT set_id, doc_no, least(a, b) AS a, greatest(a, b) AS b FROM otk WHERE a <> b) GROUP BY ALL),
 oe AS MATERIALIZED (SELECT set_id, src, dst, w / sum(w) OVER (PARTITION BY set_id, src) AS p FROM (SELECT set_id, a AS src, b AS dst, w FROM oe1 UNION ALL SELECT set_id, b, a, w FROM oe1))"""
 
 
 def _neumann(name: str, edges: str, start: str, terms: int) -> str:
-    return f"""{name}_it AS (SELECT 0 AS r, set_id, node, x FROM {start} UNION ALL SELECT any_value(r) + 1, set_id, node, sum(y) FROM (SELECT i.r, i.set_id, e.dst AS node, 0.85 * e.p * i.x AS y FROM {name}_it i JOIN {edges} e ON e.set_id = i.set_id AND e.src = i.node WHERE i.r < {terms}) GROUP BY set_id, node),
-{name} AS MATERIALIZED (SELECT set_id, node, 0.15 * sum(x) AS s FROM {name}_it GROUP BY ALL)"""
+    """The walk's series term by term; ``start`` (set_id, node, x)."""
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT set_id, node, x FROM {start})"]
+    for r in range(terms):
+        steps.append(f"{name}_{r + 1} AS MATERIALIZED (SELECT e.set_id, e.dst AS node, sum(0.85 * e.p * i.x) AS x FROM {name}_{r} i JOIN {edges} e ON e.set_id = i.set_id AND e.src = i.node GROUP BY e.set_id, e.dst)")
+    every = " UNION ALL ".join(f"SELECT * FROM {name}_{r}" for r in range(terms + 1))
+    return ", ".join(steps) + f", {name} AS MATERIALIZED (SELECT set_id, node, 0.15 * sum(x) AS s FROM ({every}) GROUP BY ALL)"
 
 
 @query(f"WITH RECURSIVE {_SIBS}, {_ALL}, {_SEEDS}, {_OWN_GRAPH}, x0 AS (SELECT set_id, node, 1.0::DOUBLE AS x FROM seeds), {_neumann('sr', 'oe', 'x0', 6)}, nd AS (SELECT DISTINCT set_id, node FROM (SELECT set_id, a AS node FROM otk UNION ALL SELECT set_id, b FROM otk)), q AS (SELECT set_id, node AS phrase, coalesce(s, 0) AS score, row_number() OVER (PARTITION BY set_id ORDER BY round(coalesce(s, 0), 9) DESC, node) AS r FROM nd LEFT JOIN sr USING (set_id, node)) SELECT set_id, phrase, round(score, 6) AS score FROM q WHERE r <= 100")
@@ -117,7 +121,7 @@ def wo_twins_phrases(spark, d):
     return summarize.phrase_scores(_collection(spark, d), "sumdocs_wo_twins", terms=6).select("set_id", "phrase", r6("score"))
 
 
-_BACK = f"""bdoc AS (SELECT near.set_id, doc_id, {S.tok('text')} AS t FROM near JOIN documents USING (doc_id)),
+_BACK = f"""bdoc AS MATERIALIZED (SELECT near.set_id, doc_id, {S.tok('text')} AS t FROM near JOIN documents USING (doc_id)),
 btk AS (SELECT set_id, t[i] AS a, unnest(t[i + 1 : i + 4]) AS b FROM (SELECT *, generate_subscripts(t, 1) AS i FROM bdoc)),
 be1 AS (SELECT set_id, a, b, count(*)::DOUBLE AS w FROM (SELECT set_id, a, b FROM btk WHERE a <> b UNION ALL SELECT set_id, b, a FROM btk WHERE a <> b) GROUP BY ALL),
 be AS MATERIALIZED (SELECT set_id, a AS src, b AS dst, w / sum(w) OVER (PARTITION BY set_id, a) AS p FROM be1),

@@ -10,6 +10,7 @@ import configparser
 import json
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexicube.functions.text import join_phrases, phrase_spans
@@ -199,6 +200,38 @@ def prefix_match(old: DataFrame, new: DataFrame, text: str = "text", n: int = 10
 
 def lexicon_words(df: DataFrame, key: str, tokens: Column, lexicon: DataFrame) -> DataFrame:
     """(key, word): words of a given lexicon, or joined phrases (``_``), non-word characters removed."""
-    w = df.select(F.col(key), F.explode(tokens).alias("raw")).select(key, F.regexp_replace("raw", "[^\\w]+", "").alias("word"))
+    w = df.select(F.col(key), F.explode(tokens).alias("raw")).select(key, F.regexp_replace("raw", "[^A-Za-z0-9_]+", "").alias("word"))
     known = lexicon.select("word").distinct()
     return w.where(F.col("word").contains("_")).unionByName(w.where(~F.col("word").contains("_")).join(known, "word", "left_semi").select(key, "word"))
+
+
+def term_edges(terms: DataFrame, src_type: str = "D", dst_type: str = "P") -> DataFrame:
+    """Typed edges (src_type, src, dst_type, dst, weight, edge_type) of (id, term) rows, counted.
+
+    Blank terms and line ends don't count.
+    """
+    good = terms.where("id is not null and trim(term) <> '' and trim(term) <> '\\n'")
+    n = good.groupBy("id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return n.select(F.lit(src_type).alias("src_type"), F.col("id").cast("string").alias("src"), F.lit(dst_type).alias("dst_type"), F.col("term").alias("dst"), "weight", F.lit(src_type + dst_type).alias("edge_type"))
+
+
+def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among given ids, as one semi join instead of a scan per query."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def skip_first(df: DataFrame, order: Column, n: int) -> DataFrame:
+    """All rows but the first ``n`` in a total order."""
+    first = df.withColumn("__o", order).orderBy("__o").limit(n).agg(F.max("__o").alias("__last"))  # one row
+    return df.withColumn("__o", order).join(F.broadcast(first)).where("__last is null or __o > __last").drop("__o", "__last")
+
+
+def stems(words: DataFrame) -> DataFrame:
+    """``words`` (word, …) with their ``stem`` by Porter's published algorithm (Arrow batches)."""
+    from lexicube.functions.porter import stem
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda w: stem(w) if w is not None else None)
+
+    return words.withColumn("stem", run("word"))

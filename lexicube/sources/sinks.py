@@ -62,5 +62,5 @@ def similar_edges(df: DataFrame, path: str, above: float = 15.0) -> None:
 
 
 def sentence_lines(sents: DataFrame, path: str) -> None:
-    """One sentence a line, per set."""
-    sents.select("set_id", "sentence").write.mode("overwrite").partitionBy("set_id").text(path)
+    """One sentence a line behind its set and a tab; files hold whole ranges of sets, not one set each."""
+    sents.select(F.concat_ws("\t", F.col("set_id").cast("string"), "sentence").alias("value")).write.mode("overwrite").text(path)
