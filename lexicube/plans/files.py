@@ -89,7 +89,7 @@ def read_phrase_sets(spark, d):
     return readers.phrase_list(spark, _phrase_file(spark, d), dedupe=True).select("doc_id", F.size("phrases").cast("long").alias("n"))
 
 
-_EMB = "e AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)::DOUBLE) AS v, label FROM embeddings)"
+_EMB = "e AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)::FLOAT::DOUBLE) AS v, label FROM embeddings)"
 
 
 def _vec_file(spark, d, key, header=True) -> str:

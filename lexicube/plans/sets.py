@@ -122,8 +122,8 @@ def wo_twins_phrases(spark, d):
 
 
 _BACK = f"""bdoc AS MATERIALIZED (SELECT near.set_id, doc_id, {S.tok('text')} AS t FROM near JOIN documents USING (doc_id)),
-btk AS (SELECT set_id, t[i] AS a, unnest(t[i + 1 : i + 4]) AS b FROM (SELECT *, generate_subscripts(t, 1) AS i FROM bdoc)),
-be1 AS (SELECT set_id, a, b, count(*)::DOUBLE AS w FROM (SELECT set_id, a, b FROM btk WHERE a <> b UNION ALL SELECT set_id, b, a FROM btk WHERE a <> b) GROUP BY ALL),
+{S.PAIRS}, dpair AS MATERIALIZED (SELECT key AS doc_id, a, b, count(*)::DOUBLE AS n FROM p WHERE a <> b GROUP BY ALL),
+be1 AS (SELECT set_id, a, b, sum(n) AS w FROM (SELECT set_id, a, b, n FROM near JOIN dpair USING (doc_id) UNION ALL SELECT set_id, b, a, n FROM near JOIN dpair USING (doc_id)) GROUP BY ALL),
 be AS MATERIALIZED (SELECT set_id, a AS src, b AS dst, w / sum(w) OVER (PARTITION BY set_id, a) AS p FROM be1),
 ownv AS MATERIALIZED (SELECT DISTINCT set_id, unnest(tokens) AS node FROM own), voc AS MATERIALIZED (SELECT set_id, node FROM ownv UNION SELECT DISTINCT set_id, unnest(t) FROM bdoc SEMI JOIN ownv USING (set_id))"""
 

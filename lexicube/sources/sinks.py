@@ -51,8 +51,8 @@ def snapshot(df: DataFrame, path: str, step: int) -> None:
 
 def sentence_flags(sents: DataFrame, picks: DataFrame, path: str) -> None:
     """(set_id, sent_no, flag): place of choice counted from the end, -1 if not picked."""
-    n = picks.groupBy("set_id").agg(F.max("pick").alias("n"))
-    p = picks.join(n, "set_id").select("set_id", "sent_no", (F.col("n") - F.col("pick") + 1).alias("flag"))
+    n = picks.groupBy("set_id").agg(F.max("pick").alias("__most"))
+    p = picks.select("set_id", "sent_no", "pick").join(n, "set_id").select("set_id", "sent_no", (F.col("__most") - F.col("pick") + 1).alias("flag"))
     sents.select("set_id", "sent_no").join(p, ["set_id", "sent_no"], "left").na.fill(-1, ["flag"]).write.mode("overwrite").parquet(path)
 
 
