@@ -62,6 +62,13 @@ def delete(spark: SparkSession, path: str) -> None:
         logging.getLogger(__name__).debug("%s is left behind: %s", path, e)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a path, none if it doesn't exist."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()) if fs.exists(p) else []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, deleted when the driver ends."""
     path = f"{shared_folder(spark)}/lexicube-{uuid.uuid4().hex}/{name}"
