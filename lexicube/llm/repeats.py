@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexicube.llm import recompress
 from lexicube.operators.common import join_stats
-from lexicube.session import cut, table
+from lexicube.session import cut, drop_cut, table
 
 #: Characters parsed at a time in a Python worker (bounds its memory).
 CHUNK = 400_000
@@ -20,68 +20,71 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def _keys(docs: DataFrame, least: int, freeze: int) -> DataFrame:
-    """(key, doc, start, stop) of the symbol sequences of every text."""
+def _pieces(codes: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A very long text in overlapping pieces; every window lies in one of them."""
+    most = (1 << recompress.PLACE) - CHUNK - 2
+    at = 0
+    while True:
+        yield at, codes[at : at + most]
+        at += most - 2 * width
+        if at + 2 * width >= len(codes):
+            return
 
-    def flush(ids: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
+
+def _keys(docs: DataFrame, width: int, least: int, rounds: int, freeze: int) -> DataFrame:
+    """(key, doc, first, last): designated keys of every text and the windows they stand for."""
+
+    def flush(ids: list[int], shifts: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
         sizes = np.array([len(p) for p in parts])
         at = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-        one = np.concatenate([np.append(p, 0) for p in parts])
-        breaks = at + sizes
-        names, starts = recompress.parse(one, freeze, breaks=breaks)
-        key, start, stop = recompress.keys(names, starts, len(one), least)
-        doc = np.searchsorted(at, start, side="right") - 1
-        inside = (stop <= breaks[doc]) & (start < breaks[doc])
-        key, start, stop, doc = key[inside], start[inside], stop[inside], doc[inside]
-        return pd.DataFrame({"key": key.view(np.int64), "doc": np.array(ids)[doc], "start": (start - at[doc]).astype(np.int32), "stop": (stop - at[doc]).astype(np.int32)})
+        key, first, last = recompress.designated(np.concatenate([np.append(p, 0) for p in parts]), at + sizes, width, least, rounds, freeze)
+        own = np.searchsorted(at, first, side="right") - 1
+        move = np.array(shifts)[own] - at[own]
+        return pd.DataFrame({"key": key.view(np.int64), "doc": np.array(ids)[own], "first": (first + move).astype(np.int32), "last": (last + move).astype(np.int32)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, parts, size = [], [], 0
+        ids, shifts, parts, size = [], [], [], 0
         for pdf in batches:
             for i, text in zip(pdf["doc"], pdf["text"]):
-                codes = _codes(text)
-                ids.append(i)
-                parts.append(codes)
-                size += len(codes)
-                if size >= CHUNK:
-                    yield flush(ids, parts)
-                    ids, parts, size = [], [], 0
+                for shift, codes in _pieces(_codes(text), width):
+                    ids.append(i)
+                    shifts.append(shift)
+                    parts.append(codes)
+                    size += len(codes)
+                    if size >= CHUNK:
+                        yield flush(ids, shifts, parts)
+                        ids, shifts, parts, size = [], [], [], 0
         if ids:
-            yield flush(ids, parts)
+            yield flush(ids, shifts, parts)
 
-    return docs.mapInPandas(run, "key long, doc long, start int, stop int")
+    return docs.mapInPandas(run, "key long, doc long, first int, last int")
 
 
-def _windows(docs: DataFrame, width: int) -> DataFrame:
-    """(h, doc, pos): substrings of ``width`` that hold a shared key, by hash.
+def _windows(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """(h, doc, pos): the hashes of the windows of the given stretches of a document.
 
-    ``docs`` has the text and the shared keys' positions of a document.
+    ``docs`` has the text and the windows' stretches (``firsts``, ``lasts``).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, text, starts, stops in zip(pdf["doc"], pdf["text"], pdf["starts"], pdf["stops"]):
+            for i, text, firsts, lasts in zip(pdf["doc"], pdf["text"], pdf["firsts"], pdf["lasts"]):
                 h = recompress.window_hashes(_codes(text), width)
-                mark = np.zeros(len(h) + 1, dtype=np.int32)
-                lo = np.clip(np.asarray(stops) - width, 0, len(h))
-                hi = np.clip(np.asarray(starts) + 1, 0, len(h))
-                ok = lo < hi
-                np.add.at(mark, lo[ok], 1)
-                np.add.at(mark, hi[ok], -1)
-                pos = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-                if len(pos):
-                    yield pd.DataFrame({"h": h[pos].view(np.int64), "doc": i, "pos": pos.astype(np.int32)})
+                pos = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(firsts, lasts)]))
+                yield pd.DataFrame({"h": (h[pos] >> np.uint64(64 - bits)).view(np.int64), "doc": i, "pos": pos.astype(np.int32)})
 
     return docs.mapInPandas(run, "h long, doc long, pos int")
 
 
-def _held_twice(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """Keys held by two documents or more with their number of rows; all rows."""
-    stats = rows.groupBy(key).agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n"))
-    return cut(stats.where("a < b").select(key, "n"), "twice"), rows.count()
+def _same(rows: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """``rows`` (doc, p1, p2, wdoc, wpos) with ``same``: whether the stretch and its witness agree, character for character."""
+    size = F.col("p2") - F.col("p1") + width
+    own = rows.join(reps, "doc").select("doc", "p1", "p2", "wdoc", "wpos", F.substring("text", F.col("p1") + 1, size).alias("own"))
+    other = own.join(reps.toDF("wdoc", "text"), "wdoc")
+    return other.select("doc", "p1", "p2", (F.col("own") == F.substring("text", F.col("wpos") + 1, size)).alias("same"))
 
 
-def shared_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 200, least: int = 80, freeze: int = 16) -> DataFrame:
+def shared_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 200, least: int = 64, rounds: int = 6, freeze: int = 8, bits: int = 64) -> DataFrame:
     """Maximal stretches made of substrings of ``width`` that another document holds too.
 
     (doc, start_pos, end_pos) in code points. A character is in a stretch if it lies
@@ -90,13 +93,16 @@ def shared_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", width
 
     1. Exact copies are grouped by the SHA-256 of their text. A text held twice is one
        stretch; one document of each group goes on, so a hot text is parsed once.
-    2. Recompression parses every text into consistent symbols of up to 2 * ``freeze``
-       characters; from each symbol, the sequence that spans ``least`` characters is a
-       key. Equal substrings of ``width`` share a key, since only few symbols at their
-       ends can differ (measured: none of 400 lacked one at these settings).
-    3. Keys held by two documents reveal where repeats may lie; there alone, every
-       substring of ``width`` is hashed and counted over the documents, which verifies
-       the repeat and gives its exact ends without comparing documents in pairs.
+    2. Recompression parses every text into symbols that equal substrings share. Each
+       window of ``width`` has one designated key, a sequence of symbols inside it; equal
+       windows have equal ones (shown in :mod:`lexicube.llm.recompress`). There is a row a
+       key, about one for 40 characters of natural text.
+    3. Windows whose designated key another document holds too are hashed and grouped by
+       that hash (of ``bits`` bits), each group with a witness: its first place, or its last
+       one for the document of the first.
+    4. Stretches of windows with neighbouring witnesses are compared with them, character
+       for character. Windows of hashes for which that fails anywhere are grouped again by
+       their text itself, so the result is exact whatever the hashes do.
 
     Documents with a null id or a text that is null or shorter than ``width`` have no
     stretch. Repeated rows of one id are one document. No pairs are ever formed, so a
@@ -107,16 +113,35 @@ def shared_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", width
     ids = cut(src.select("doc", F.sha2("text", 256).alias("sha"), F.char_length("text").alias("n")).distinct(), "ids")
     groups = cut(ids.groupBy("sha").agg(F.min("doc").alias("rep"), F.count_distinct("doc").alias("copies"), F.count(F.lit(1)).alias("m")), "groups")
     reps = cut(src.join(groups.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "text"), "reps")
-    keys = cut(_keys(reps, least, freeze), "keys")
-    twice, total = _held_twice(keys, "key")
-    marks = join_stats(keys, twice, ["key"], "n", total, "left_semi").groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    wins = cut(_windows(reps.join(marks, "doc"), width), "windows")
-    twice, total = _held_twice(wins, "h")
-    hits = join_stats(wins, twice, ["h"], "n", total, "left_semi")
+    keys = cut(_keys(reps, width, least, rounds, freeze), "keys")
+    held = keys.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("key", "n")
+    marks = join_stats(keys, cut(held, "held"), ["key"], "n", keys.count(), "left_semi").groupBy("doc").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    wins = cut(_windows(reps.join(marks, "doc"), width, bits), "windows")
+    drop_cut(keys)
+    place = F.struct("doc", "pos")
+    twice = wins.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a.doc < b.doc")
+    hits = join_stats(wins, cut(twice, "twice"), ["h"], "n", wins.count())
+    by = F.when(F.col("doc") == F.col("a.doc"), F.col("b")).otherwise(F.col("a"))
+    hits = hits.select("doc", "pos", by["doc"].alias("wdoc"), by["pos"].alias("wpos"))
     w = Window.partitionBy("doc").orderBy("pos")
-    cuts = hits.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(w) > width).cast("int"), F.lit(1)))
-    runs = cuts.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc", "run").agg(F.min("pos").alias("start_pos"), (F.max("pos") + width).alias("end_pos"))
+    follows = (F.lag("pos").over(w) == F.col("pos") - 1) & (F.lag("wdoc").over(w) == F.col("wdoc")) & (F.lag("wpos").over(w) == F.col("wpos") - 1)
+    cuts = hits.withColumn("new", F.coalesce((~follows).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = cut(cuts.groupBy("doc", "run").agg(F.min("pos").alias("p1"), F.max("pos").alias("p2"), F.first("wdoc").alias("wdoc"), F.min("wpos").alias("wpos")).drop("run"), "runs")
+    checked = cut(_same(runs, reps, width), "checked")
+    good = checked.select("doc", "p1", "p2")
+    wrong = checked.where("not same")
+    if not wrong.isEmpty():
+        # the hashes of windows whose witness differs say nothing: group those by their text
+        where = wrong.select("doc", F.explode(F.sequence("p1", "p2")).alias("pos"))
+        doubt = cut(wins.join(wins.join(where, ["doc", "pos"], "left_semi").select("h").distinct(), "h", "left_semi").select("doc", "pos"), "doubt")
+        exact = doubt.join(reps, "doc").select("doc", "pos", F.substring("text", F.col("pos") + 1, F.lit(width)).alias("s"))
+        exact = cut(exact.withColumn("s2", F.sha2("s", 256)), "exact")
+        real = exact.groupBy("s2", "s").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("s2", "s")
+        sure = checked.select("doc", F.explode(F.sequence("p1", "p2")).alias("pos")).join(doubt, ["doc", "pos"], "left_anti")
+        good = sure.unionByName(exact.join(real, ["s2", "s"], "left_semi").select("doc", "pos")).select("doc", F.col("pos").alias("p1"), F.col("pos").alias("p2"))
+    w = Window.partitionBy("doc").orderBy("p1")
+    cuts = good.withColumn("new", F.coalesce((F.col("p1") - F.lag("p2").over(w) > width).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = cuts.groupBy("doc", "run").agg(F.min("p1").alias("start_pos"), (F.max("p2") + width).alias("end_pos"))
     # one row a document: copies of a group are whole stretches, the rest are representatives
     whole = join_stats(ids, groups.where("copies > 1"), ["sha"], "m", ids.count()).select("doc", F.lit(0).alias("start_pos"), F.col("n").alias("end_pos"))
     single = spans.join(groups.where("copies > 1").select(F.col("rep").alias("doc")), "doc", "left_anti").select("doc", "start_pos", "end_pos")
