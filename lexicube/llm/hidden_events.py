@@ -1,17 +1,24 @@
 """Sentence boundaries as hidden events between words.
 
 A text is cut into segments where a boundary is certain (empty lines, separator
-tags). Within a segment every sentence mark outside quotes and brackets opens a
-*gap*: a place where the model may insert a boundary token. A gap shows the context
-to the left (the word before a period, the word before a number, the mark, or how a
-quotation that ends here was opened) and the symbol to the right (word, character,
-digit, opening quote). The n-gram model gives P(event | left) and P(right | event);
-the events of a segment form a chain, as a boundary right after another is unlikely.
-Forward-backward gives the posterior of each gap.
+tags). Between any two words of a segment a boundary token may be hidden; an n-gram
+model gives P(event | left) and P(right | event), and the events of a segment form a
+chain, as a boundary right after another is unlikely. Forward-backward gives the
+posterior of every event.
+
+Texts come in two kinds. In *marked* ones sentences end with marks, so the context to the
+left of an event is the mark with the word before it (the word before a period, the word
+before a number, or how a quotation that ends here was led in) and the symbol to the right
+is a word, character, digit or opening quote. Without a mark P(event | left) is that of
+headings, so low that no right symbol can lift the posterior to one half (``UNMARKED``);
+only places with marks are written down as *gaps*. In *plain* texts, which have no
+sentence mark at all, every gap between words counts, in scripts without spaces every gap
+between characters, and the words themselves are the contexts (:func:`plain_odds`).
 
 The model needs no labels: segment ends are certain boundaries, words inside clauses
 are certain non-boundaries, and the gaps themselves are re-estimated by expectation
-maximisation over the whole collection.
+maximisation over the whole collection. What it finds in marked texts, without the marks,
+is what the n-grams of plain ones are counted from.
 """
 
 from __future__ import annotations
@@ -19,16 +26,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 TAG = "story_separator_special_tag"
-# Abbreviations that rarely end a sentence (a weak prior, no rule).
-ABBREVIATIONS = set(
-    """approx art bd bzw ca capt cf ch chap col dept dr dra dres ed eds e.g eq esp etc fig figs gen gov hon i.e jr lt maj max mdm min mme mr mrs ms mt no nos nr p pag pág pp prof
-    ref rev sec sen sgt sr sra st str tel univ usw v vgl vol vs z aprox av bspw ej núm ex m mm th т е г гг ул им стр рис см тыс млн д डॉ श्री د""".split()
-)
-ABBREVIATIONS |= {"al", "jan", "feb", "mar", "apr", "aug", "sept", "oct", "nov", "dec"}
-
 _TERM = re.compile("[.!?…。！？｡．।॥؟۔]+")
 _HARD = re.compile(rf"{TAG}|\n[^\S\n]*\n\s*")
 _WORD_LEFT = re.compile(r"[^\s\"“”«»„‘()\[\]「」『』（）—]*$")
@@ -40,6 +40,12 @@ _NO_CASE = re.compile("[֐-෿฀-࿿぀-ヿ㐀-鿿가-힯]")
 _CJK = re.compile("[฀-໿぀-ヿ㐀-鿿]")
 
 
+#: Bounds of the logarithm of P(right | boundary) / P(right | none), and the prior logit of a
+#: boundary without a mark in a marked text: together below 0.
+RATIO = (-8.0, 5.0)
+UNMARKED = -7.0
+
+
 @dataclass
 class Gap:
     at: int  # the sentence would end here
@@ -47,32 +53,13 @@ class Gap:
     right: str
     words: int = 0  # words since the gap before
     sure: bool = False
-
-
-@dataclass
-class Model:
-    """P(boundary | left) and the logarithm of P(right | boundary) / P(right | none)."""
-
-    prior: dict[str, float] = field(default_factory=dict)
-    ratio: dict[str, float] = field(default_factory=dict)
-    default: float = 0.0  # ratio of a right symbol that was never seen
-
-    def logit(self, left: str, right: str) -> float:
-        p = self.prior.get(left)
-        if p is None:
-            p = self.prior.get(left_class(left), 0.5)
-        r = self.ratio.get(right)
-        if r is None:
-            r = self.ratio.get(right_class(right), self.default)
-        return math.log(p / (1 - p)) + r
+    next: int = 0  # the next sentence would start here
 
 
 def left_class(left: str) -> str:
     """What a rare left context is counted as."""
     kind, _, word = left.partition(":")
     if kind == "w":
-        if word.lower() in ABBREVIATIONS:
-            return "W:abbr"
         if "." in word:
             return "W:dotted"
         if len(word) == 1:
@@ -174,7 +161,7 @@ def gaps(s: str) -> list[Gap]:
     if thai:
         for m in _THAI_GAP.finditer(s):
             if 0 < m.start() and m.end() < len(s) and not s[m.start() - 1].isdigit() and not s[m.end()].isdigit() and "\n" not in (s[m.start() - 1], s[m.end()]):
-                out.append(Gap(m.start(), "thai", "thai", 9, True))
+                out.append(Gap(m.start(), "thai", "thai", 9, True, m.end()))
     seen = 0
     for m in _TERM.finditer(s):
         mark, g, opening = m[0], m.end(), None
@@ -198,15 +185,15 @@ def gaps(s: str) -> list[Gap]:
             rest += 1
         left = _left(s, m.start(), mark, opening, ends)
         if rest == len(s):
-            out.append(Gap(len(s), left, "end", 0, True))
+            out.append(Gap(len(s), left, "end", 0, True, len(s)))
             break
         if rest == g and not _may_be_glued(s, m.start(), g, mark, opening):
             continue
         ends.add(g)
-        out.append(Gap(g, left, right_symbol(s, rest), max(1, len(s[seen:g].split()) if not _CJK.search(s[seen:g]) else (g - seen) // 3)))
+        out.append(Gap(g, left, right_symbol(s, rest), max(1, len(s[seen:g].split()) if not _CJK.search(s[seen:g]) else (g - seen) // 3), False, rest))
         seen = g
     else:
-        out.append(Gap(len(s), "none", "end", 0, True))
+        out.append(Gap(len(s), "none", "end", 0, True, len(s)))
     return sorted(out, key=lambda x: x.at)
 
 
@@ -237,73 +224,92 @@ def _may_be_glued(s: str, at: int, g: int, mark: str, opening: int | None) -> bo
             return False
         if _NO_CASE.match(nxt):
             return bool(re.search(r"\w{3,}$", s[max(0, at - 20) : at]))
-        return not prev.isdigit() or True
+        return True
     return nxt in '"“„«‘「『(（¿¡'
 
 
-def observe(text: str, count: Counter) -> None:
-    """Count what a text shows: (kind, left, right) with kind gap, end, start or mid."""
-    for a, b in segments(text):
-        s = text[a:b]
-        found = gaps(s)
-        count["start", "", right_symbol(s, 0)] += 1
-        for g in found:
-            if g.right == "end":
-                count["end", g.left, ""] += 1
-            elif not g.sure:
-                count["gap", g.left, g.right] += 1
-        prev_open = False
-        for m in re.finditer(r"\S+", s):
-            if m.start() and not prev_open:
-                count["mid", "", right_symbol(s, m.start())] += 1
-            prev_open = bool(_TERM.search(m[0][-3:]))
-        if _CJK.search(s):
-            for i in range(1, len(s)):
-                if _CJK.match(s[i]) and s[i - 1].isalnum():
-                    count["mid", "", "c:" + s[i]] += 1
+def observe(s: str, found: list[Gap], count: Counter) -> None:
+    """Count what a segment shows: (kind, left, right) with kind gap, end, start or mid."""
+    count["start", "", right_symbol(s, 0)] += 1
+    for g in found:
+        if g.right == "end":
+            count["end", g.left, ""] += 1
+        elif not g.sure:
+            count["gap", g.left, g.right] += 1
+    prev_open = False
+    for m in _NONSPACE.finditer(s):
+        if m.start() and not prev_open:
+            count["mid", "", right_symbol(s, m.start())] += 1
+        prev_open = bool(_TERM.search(m[0][-3:]))
+    if _CJK.search(s):
+        for i in range(1, len(s)):
+            if _CJK.match(s[i]) and s[i - 1].isalnum():
+                count["mid", "", "c:" + s[i]] += 1
+
+
+_NONSPACE = re.compile(r"\S+")
+_PLAIN = re.compile("[\u0e80-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\ufa00-\ufaff]|[^\\W_]+(?:['’-][^\\W_]+)*")
+
+
+def is_plain(text: str) -> bool:
+    """A text without any sentence mark, in a script in which spaces don't end sentences by rule."""
+    return not _TERM.search(text) and not _THAI.search(text)
+
+
+def plain_tokens(s: str) -> list[tuple[str, int, int]]:
+    """Words in lower case with their places; characters where a script has no spaces."""
+    return [(m[0].lower(), m.start(), m.end()) for m in _PLAIN.finditer(s)]
 
 
 #: Weight of a boundary behind a boundary after 1, 2 or more words.
 CLOSE = {1: 0.05, 2: 0.4}
 
 
-def boundaries(s: str, model: Model) -> list[int]:
-    """Ends of the sentences of a segment: posteriors of one half or more."""
-    found = gaps(s)
-    n = len(found)
-    odds = [30.0 if g.sure else max(-30.0, min(30.0, model.logit(g.left, g.right))) for g in found]
-    yes = [1 / (1 + math.exp(-o)) for o in odds]
-    # forward: f[i] = (weight of none, weight of boundary) at gap i
-    f: list[tuple[float, float]] = []
-    for i, g in enumerate(found):
-        after = CLOSE.get(g.words, 1.0) if not g.sure else 1.0
+def decide(odds: list[float], after: list[float]) -> list[bool]:
+    """Whether the posterior of each event is one half or more, by forward-backward.
+
+    ``odds`` are logits of the events by themselves, ``after`` the weight of a boundary
+    there if the event before is one.
+    """
+    yes = [1 / (1 + math.exp(-max(-30.0, min(30.0, o)))) for o in odds]
+    f: list[tuple[float, float]] = []  # forward: weights of none and of a boundary
+    for y, w in zip(yes, after):
         n0, b0 = f[-1] if f else (0.0, 1.0)
-        none, bound = (n0 + b0) * (1 - yes[i]), (n0 + b0 * after) * yes[i]
+        none, bound = (n0 + b0) * (1 - y), (n0 + b0 * w) * y
         z = none + bound or 1.0
         f.append((none / z, bound / z))
-    back = (1.0, 1.0)
-    out = []
-    for i in range(n - 1, -1, -1):
-        none, bound = f[i][0] * back[0], f[i][1] * back[1]
-        if bound >= none:
-            out.append(found[i].at)
-        g = found[i]
-        after = CLOSE.get(g.words, 1.0) if not g.sure else 1.0
+    back, out = (1.0, 1.0), []
+    for i in range(len(yes) - 1, -1, -1):
+        out.append(f[i][1] * back[1] >= f[i][0] * back[0])
         x0, x1 = (1 - yes[i]) * back[0], yes[i] * back[1]
-        b0, b1 = x0 + x1, x0 + x1 * after
+        b0, b1 = x0 + x1, x0 + x1 * after[i]
         z = b0 + b1 or 1.0
         back = (b0 / z, b1 / z)
     return out[::-1]
 
 
-def split(text: str | None, model: Model) -> list[tuple[int, int]]:
-    """Sentences of a text as (start, end) in code points."""
-    out = []
-    for a, b in segments(text or ""):
-        s, at = text[a:b], 0
-        for e in boundaries(s, model):
-            x, y = _trim(s, at, e)
-            if x < y:
-                out.append((a + x, a + y))
-            at = e
-    return out
+def decide_plain(odds: list[float]) -> list[bool]:
+    """As :func:`decide` for the gaps between all words, where the event before is a word away.
+
+    A state remembers how many words ago the last boundary was, up to three.
+    """
+    n = len(odds)
+    yes = [1 / (1 + math.exp(-max(-30.0, min(30.0, o)))) for o in odds]
+    weight = [CLOSE.get(k + 1, 1.0) for k in range(3)]
+    f = [[0.0, 0.0, 0.0]]
+    f[0][0] = 1.0  # states before gap 0: one word since the start
+    for y in yes:
+        a = f[-1]
+        bound = y * sum(x * w for x, w in zip(a, weight))
+        row = [bound, a[0] * (1 - y), (a[1] + a[2]) * (1 - y)]
+        z = sum(row) or 1.0
+        f.append([x / z for x in row])
+    back, out = [1.0, 1.0, 1.0], []
+    for i in range(n - 1, -1, -1):
+        post = [x * b for x, b in zip(f[i + 1], back)]
+        out.append(post[0] >= 0.5 * (sum(post) or 1.0))
+        y = yes[i]
+        back = [y * weight[k] * back[0] + (1 - y) * back[min(k + 1, 2)] for k in range(3)]
+        z = max(back) or 1.0
+        back = [x / z for x in back]
+    return out[::-1]

@@ -42,6 +42,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+with np.errstate(over="ignore"):
+    #: Names of the characters of the first plane.
+    _NAMES = mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i up to ``n``, kept for the next call."""
+    if base not in _POWERS or len(_POWERS[base][0]) <= n:
+        size = max(n, 1 << 19) + 1
+        with np.errstate(over="ignore"):
+            both = []
+            for b in (base, pow(base, -1, 1 << 64)):
+                x = np.full(size, np.uint64(b), dtype=np.uint64)
+                x[0] = 1
+                both.append(np.cumprod(x))
+        _POWERS[base] = (both[0], both[1])
+    return _POWERS[base]
+
+
 def loss(rounds: int, freeze: int) -> int:
     """Characters at either end of a substring whose symbols may differ."""
     return sum(min(1 << r, freeze - 1) for r in range(rounds))
@@ -62,7 +82,10 @@ def parse(codes: np.ndarray, rounds: int = 6, freeze: int = 8, breaks: np.ndarra
     texts are parsed as one array.
     """
     with np.errstate(over="ignore"):
-        names = mix64(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        names = _NAMES[np.minimum(codes, 0xFFFF)]
+        wide = np.flatnonzero(codes > 0xFFFF)
+        if len(wide):
+            names[wide] = mix64(codes[wide].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         starts = np.arange(len(codes), dtype=np.int32)
         wall = np.zeros(len(codes) + 1, dtype=bool)
         if breaks is not None and len(breaks):
@@ -91,14 +114,10 @@ def keys(names: np.ndarray, starts: np.ndarray, n: int, least: int) -> tuple[np.
         return z.astype(np.uint64), z, z
     with np.errstate(over="ignore"):
         # polynomial hash of the sequence from running sums, in arithmetic modulo 2**64
-        base = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-        inv = np.uint64(pow(int(base), -1, 1 << 64))
-        k = len(names)
-        powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(k, base, dtype=np.uint64))))
-        back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(k, inv, dtype=np.uint64))))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(names * powers[:-1])))
+        up, down = powers(0x9E3779B97F4A7C15, len(names))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(names * up[: len(names)])))
         stop = last[first] + 1
-        value = (sums[stop] - sums[first]) * back[first]
+        value = (sums[stop] - sums[first]) * down[first]
         return mix64(value + (stop - first).astype(np.uint64)), starts[first], ends[last[first]]
 
 
@@ -131,16 +150,13 @@ def designated(codes: np.ndarray, breaks: np.ndarray, width: int, least: int, ro
     place = np.full(len(codes), -1, dtype=np.int64)
     place[: len(least_at)] = (least_at & np.uint64((1 << PLACE) - 1)).astype(np.int64)
     # a window must lie in one text
-    at = np.arange(len(codes))
-    stop = breaks[np.minimum(np.searchsorted(breaks, at), len(breaks) - 1)]
-    place[at + width > stop] = -1
+    stop = np.repeat(breaks, np.diff(breaks, prepend=-1))
+    place[np.arange(len(codes)) + width > stop] = -1
     change = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     ends = np.append(change[1:], len(place)) - 1
     real = place[change] >= 0
     first, last, where = change[real], ends[real], place[change[real]]
-    named = np.zeros(len(codes), dtype=np.uint64)
-    named[start] = key
-    return named[where], first, last
+    return key[np.searchsorted(start, where)], first, last
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -149,10 +165,6 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        base = np.uint64(0xD6E8FEB86659FD93)
-        inv = np.uint64(pow(int(base), -1, 1 << 64))
-        c = mix64(codes.astype(np.uint64) + np.uint64(1))
-        powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(codes), base, dtype=np.uint64))))
-        back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, inv, dtype=np.uint64))))[:n]
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(c * powers[:-1])))
-        return mix64((sums[width:] - sums[:n]) * back)
+        up, down = powers(0xD6E8FEB86659FD93, len(codes))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])))
+        return mix64((sums[width:] - sums[:n]) * down[:n])

@@ -66,12 +66,31 @@ def _windows(docs: DataFrame, width: int, bits: int) -> DataFrame:
     ``docs`` has the text and the windows' stretches (``firsts``, ``lasts``).
     """
 
+    def flush(ids: list[int], firsts: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
+        sizes = np.array([len(p) for p in parts])
+        at, n = np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes - width + 1
+        h = recompress.window_hashes(np.concatenate(parts), width)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return pd.DataFrame({"h": (h[np.repeat(at, n) + step] >> np.uint64(64 - bits)).view(np.int64), "doc": np.repeat(np.array(ids), n), "pos": (np.repeat(np.array(firsts), n) + step).astype(np.int32)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, begins, parts, size = [], [], [], 0
         for pdf in batches:
             for i, text, firsts, lasts in zip(pdf["doc"], pdf["text"], pdf["firsts"], pdf["lasts"]):
-                h = recompress.window_hashes(_codes(text), width)
-                pos = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(firsts, lasts)]))
-                yield pd.DataFrame({"h": (h[pos] >> np.uint64(64 - bits)).view(np.int64), "doc": i, "pos": pos.astype(np.int32)})
+                codes, first, last = _codes(text), np.sort(firsts), np.sort(lasts)
+                # stretches that follow each other, or overlap in pieces of very long texts, are one
+                head = np.concatenate(([True], first[1:] > np.maximum.accumulate(last)[:-1] + 1))
+                tail = np.append(np.flatnonzero(head)[1:], len(first)) - 1
+                for a, b in zip(first[head].tolist(), last[tail].tolist()):
+                    ids.append(i)
+                    begins.append(a)
+                    parts.append(codes[a : b + width])
+                    size += b + width - a
+                if size >= CHUNK:
+                    yield flush(ids, begins, parts)
+                    ids, begins, parts, size = [], [], [], 0
+        if ids:
+            yield flush(ids, begins, parts)
 
     return docs.mapInPandas(run, "h long, doc long, pos int")
 
@@ -118,11 +137,10 @@ def shared_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", width
     marks = join_stats(keys, cut(held, "held"), ["key"], "n", keys.count(), "left_semi").groupBy("doc").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     wins = cut(_windows(reps.join(marks, "doc"), width, bits), "windows")
     drop_cut(keys)
-    place = F.struct("doc", "pos")
-    twice = wins.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a.doc < b.doc")
+    twice = wins.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min_by("pos", "doc").alias("ap"), F.max_by("pos", "doc").alias("bp"), F.count(F.lit(1)).alias("n")).where("a < b")
     hits = join_stats(wins, cut(twice, "twice"), ["h"], "n", wins.count())
-    by = F.when(F.col("doc") == F.col("a.doc"), F.col("b")).otherwise(F.col("a"))
-    hits = hits.select("doc", "pos", by["doc"].alias("wdoc"), by["pos"].alias("wpos"))
+    first = F.col("doc") == F.col("a")
+    hits = hits.select("doc", "pos", F.when(first, F.col("b")).otherwise(F.col("a")).alias("wdoc"), F.when(first, F.col("bp")).otherwise(F.col("ap")).alias("wpos"))
     w = Window.partitionBy("doc").orderBy("pos")
     follows = (F.lag("pos").over(w) == F.col("pos") - 1) & (F.lag("wdoc").over(w) == F.col("wdoc")) & (F.lag("wpos").over(w) == F.col("wpos") - 1)
     cuts = hits.withColumn("new", F.coalesce((~follows).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
