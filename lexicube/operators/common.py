@@ -55,8 +55,8 @@ def sample_k(df: DataFrame, by: Sequence[str], key: str, k: int, seed: int = 0)
     return top_k(df, by, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], k, "__s").drop("__s")
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
-    """Running sums (inclusive) of ``values`` along ``order`` in every group of ``by``.
+def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], values: dict[str, Column], how: str = "sum") -> DataFrame:
+    """Running sums (inclusive) of ``values`` along ``order`` in every group of ``by``; with ``how`` max, the largest so far.
 
     No group is sorted by one task: rows are split by ranges of (group, order), summed
     within a range, and the totals of the ranges before (one row a range and group) are
@@ -66,13 +66,16 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], values: d
     each = df.withColumns({f"__v_{k}": v for k, v in values.items()})
     split = cut(each.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("__part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    part = split.groupBy("__part", *by).agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in values])
+    total = F.sum if how == "sum" else F.max
+    zero = F.lit(0) if how == "sum" else F.lit(None)
+    plus = (lambda a, b: a + b) if how == "sum" else F.greatest  # greatest passes nulls by
+    part = split.groupBy("__part", *by).agg(*[total(f"__v_{k}").alias(f"__t_{k}") for k in values])
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     keys = ["__part", *by]
-    base = part.select(*[F.col(c).alias(f"__k_{c}") for c in keys], *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in values])
+    base = part.select(*[F.col(c).alias(f"__k_{c}") for c in keys], *[F.coalesce(total(f"__t_{k}").over(before), zero).alias(f"__b_{k}") for k in values])
     same = F.lit(True)
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
     out = split.join(base, same)
-    sums = {k: F.sum(f"__v_{k}").over(inside) + F.col(f"__b_{k}") for k in values}
+    sums = {k: plus(total(f"__v_{k}").over(inside), F.col(f"__b_{k}")) for k in values}
     return out.select(*df.columns, *[c.alias(k) for k, c in sums.items()])

@@ -19,7 +19,7 @@ from lexicube.sources import readers
 from lexicube.streaming import counts
 
 QUERIES: dict = {**load.QUERIES}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {**load.ORACLE}
 
 
 def query(oracle: str | None = None):

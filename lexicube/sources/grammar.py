@@ -113,6 +113,13 @@ class RecordGrammar:
             return 0.0
         return float(bare)
 
+    def event(self, text: str | None) -> int | None:
+        """What a line does to recovery: 1 an odd number of quotes opens one, 0 a validated record start, None neither."""
+        text = text or ""
+        if text.count('"') % 2:
+            return 1
+        return 0 if _ANCHOR.match(text) else None
+
     # file := line (NL line)*
     def file(self, text: str) -> Iterator[Outcome]:
         """Parse a whole text; quoted fields may hold line breaks in a broken file.
@@ -128,7 +135,7 @@ class RecordGrammar:
             out = self.line(text[at:end], at)
             yield out
             nxt = end + 1
-            if out.reason == "quoting" and text.count('"', at, end) % 2:
+            if text.count('"', at, end) % 2:
                 m = _ANCHOR.search(text, nxt)
                 resume = m.start() if m else len(text)
                 if text[nxt:resume].strip(" \t\r\n"):

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexicube.operators.common import running
+from lexicube.session import cut
 from lexicube.sources.grammar import RecordGrammar
 
 _OUT = "kind string, doc_id long, embedding array<float>, reason string, error_pos int, error_field int"
@@ -50,20 +52,44 @@ def split_lines(df: DataFrame, line: str = "raw_line", keep: tuple[str, ...] = (
     )
 
 
-def parse_files(spark: SparkSession, path: str, dim: int = 100) -> DataFrame:
-    """Whole files through the file rule, with recovery after broken quotes.
+def recover(df: DataFrame, file: str = "file_name", no: str = "line_id", line: str = "raw_line", dim: int = 100) -> DataFrame:
+    """The file rule over the lines of many files: (file, no, kind, doc_id, embedding, reason, error_pos, error_field).
+
+    A line with an odd number of quotes leaves one open, which swallows line ends. The
+    parse resumes at the next *validated record start*, a line on which a key and a first
+    value really parse; the lines between are ``skipped``, with the reason ``quoting``.
 
-    One row per line or skipped stretch: file, positions, outcome. Files are read
-    whole, one a task at most; use :func:`parse_lines` where the line ends are sure.
+    Lines are parsed anywhere. What is open in front of a line is the last event before
+    it (an open quote or a record start), carried over ranges of lines, so a file with a
+    third of all lines is split over many tasks. ``no`` orders the lines of a file; rows
+    without a file or number are files and lines of their own kind of null.
     """
-    schema = "file_name string, start_pos long, end_pos long, " + _OUT
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (file, no)}
+    schema = f"file {kinds[file]}, no {kinds[no]}, event int, " + _OUT
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grammar = RecordGrammar(dim)
         for pdf in batches:
-            for name, text in zip(pdf["file_name"], pdf["value"]):
-                rows = [(name, o.start, o.end, o.kind, o.key if o.kind == "record" else None, o.vector, o.reason, o.position, o.field_no) for o in grammar.file(text)]
-                out = pd.DataFrame(rows, columns=["file_name", "start_pos", "end_pos", "kind", "doc_id", "embedding", "reason", "error_pos", "error_field"])
-                yield out.astype({"doc_id": "Int64", "error_pos": "Int32", "error_field": "Int32"})
+            outs = [grammar.line(x) for x in pdf["line"]]
+            yield pd.DataFrame({
+                "file": pdf["file"], "no": pdf["no"], "event": pd.array([grammar.event(x) for x in pdf["line"]], dtype="Int32"), "kind": [o.kind for o in outs],
+                "doc_id": pd.array([o.key if o.kind == "record" else None for o in outs], dtype="Int64"), "embedding": [o.vector for o in outs], "reason": [o.reason for o in outs],
+                "error_pos": pd.array([o.position for o in outs], dtype="Int32"), "error_field": pd.array([o.field_no for o in outs], dtype="Int32"),
+            })
+
+    parsed = df.select(F.col(file).alias("file"), F.col(no).alias("no"), F.col(line).alias("line")).mapInPandas(run, schema)
+    last = F.when(F.col("event").isNotNull(), F.struct("no", "event"))
+    seen = running(parsed, ["file"], [F.col("no")], {"last": last}, "max")
+    skipped = F.col("event").isNull() & F.coalesce(F.col("last.event") == 1, F.lit(False))
+    unless = lambda c: F.when(~skipped, F.col(c)).alias(c)
+    return seen.select(F.col("file").alias(file), F.col("no").alias(no), F.when(skipped, "skipped").otherwise(F.col("kind")).alias("kind"), unless("doc_id"), unless("embedding"), F.when(skipped, "quoting").otherwise(F.col("reason")).alias("reason"), unless("error_pos"), unless("error_field"))
+
 
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_name"), "value").mapInPandas(run, schema)
+def parse_files(spark: SparkSession, path: str, dim: int = 100) -> DataFrame:
+    """Text files of any size through the file rule (:func:`recover`): one row a line, ``line_no`` from 0.
+
+    Files are read in blocks by many tasks; a line's place is its block and its order there.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    numbered = running(cut(lines, "lines"), ["file_name"], [F.col("block"), F.col("at")], {"line_no": F.lit(1).cast("long")})
+    return recover(numbered.withColumn("line_no", F.col("line_no") - 1), "file_name", "line_no", "value", dim)
