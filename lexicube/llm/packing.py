@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexicube.llm.tokenize import VOCABULARY, token_count
-from lexicube.session import cut, drop_cut, partitions_for, table
+from lexicube.session import cut, partitions_for, table
 
 _BIN = "bin long, fill int, closed boolean, members array<struct<item:bigint,piece:int,size:int>>"
 
@@ -70,10 +70,14 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = 2048, full: flo
 
     An item larger than ``capacity`` is cut into full pieces and a rest; nothing
     else is cut. Hierarchical residual packing: every partition packs its own
-    items by best fit; bins filled to ``full`` are emitted, the others go on as
-    items of the next round, which runs over fewer partitions, so that residues of
-    more and more partitions meet. It ends when one partition holds all residues or
-    when a round no longer merges at least a twentieth of them.
+    items by best fit; bins filled to ``full`` are emitted, underfull ones go on as
+    items of the next round, which runs over a quarter of the partitions.
+
+    Two bins can only be joined if one of them is at most half full, and best fit leaves a
+    partition at most one such bin. So of a round only those go on, and as many of the
+    others as there are of them, the roomiest first: no choice of hosts can take in more.
+    All others are final. Hence a round moves at most two bins a partition of the round
+    before, and it ends when one bin at most half full is left or one partition.
 
     Items with a null or non-positive size come out with a null bin and piece 0;
     repeated items are packed as often as they come; an empty table gives an empty
@@ -90,21 +94,19 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = 2048, full: flo
     count = live.count()
     rows = live.select(F.col("size").alias("fill"), F.array(F.struct("item", "piece", "size")).alias("members"))
     done: DataFrame | None = None
-    no, parts, spent = 0, partitions_for(spark, count, rows_per_task), None
+    no, parts = 0, partitions_for(spark, count, rows_per_task)
     while count:
         made = cut(_round(rows.repartition(parts), capacity, full, no), "bins")
-        if spent is not None:
-            drop_cut(spent)
-        open_bins = made.where("not closed")
-        left = open_bins.count()
-        last = parts == 1 or (no > 0 and left > 0.95 * count) or left == 0
-        emit = made if last else made.where("closed")
-        done = emit if done is None else done.unionByName(emit)
-        if last:
+        half = made.where((~F.col("closed")) & (F.col("fill") * 2 <= capacity))
+        small = half.count()
+        if parts == 1 or small <= 1:
+            done = made if done is None else done.unionByName(made)
             break
-        # the emitted bins are read at the end, so their table stays
-        rows, count, no = open_bins, left, no + 1
-        parts = max(1, min(parts // 4, -(-left // max(1, rows_per_task // 4))))
+        hosts = made.where((~F.col("closed")) & (F.col("fill") * 2 > capacity)).orderBy("fill", "bin").limit(small)
+        rows = cut(half.unionByName(hosts), "residues")
+        emit = made.join(rows.select("bin"), "bin", "left_anti")
+        done = emit if done is None else done.unionByName(emit)
+        no, parts = no + 1, max(1, parts // 4)
     none = first.where("size <= 0").select(F.lit(None).cast("long").alias("bin"), "item", "piece", "size", F.lit(None).cast("int").alias("fill"))
     if done is None:
         return none
@@ -125,7 +127,7 @@ def p7_bins(spark: SparkSession, folder: str, capacity: int = 2048, path: str =
 
 
 def p7_fill(spark: SparkSession, folder: str, capacity: int = 2048, path: str = VOCABULARY) -> DataFrame:
-    """Containers by how full they are (in twentieths), against the least number possible."""
+    """One row: containers, the least number possible, pieces, tokens, and the share of room left."""
     bins = p7_bins(spark, folder, capacity, path).where("bin_id is not null").groupBy("bin_id").agg(F.sum("n_tokens").alias("fill"), F.count(F.lit(1)).alias("n_pieces"))
-    band = F.floor(F.col("fill") * 20 / capacity).alias("twentieths")
-    return bins.groupBy(band).agg(F.count(F.lit(1)).alias("n_bins"), F.sum("n_pieces").alias("n_pieces"), F.sum("fill").alias("n_tokens"), F.ceil(F.sum("fill") / capacity).alias("least_bins"))
+    out = bins.agg(F.count(F.lit(1)).alias("n_bins"), F.coalesce(F.sum("n_pieces"), F.lit(0)).alias("n_pieces"), F.coalesce(F.sum("fill"), F.lit(0)).alias("n_tokens"), F.coalesce(F.max("fill"), F.lit(0)).alias("fullest"))
+    return out.select("n_bins", F.ceil(F.col("n_tokens") / capacity).alias("least_bins"), "n_pieces", "n_tokens", "fullest", F.coalesce(F.round(1 - F.col("n_tokens") / (F.col("n_bins") * capacity), 6), F.lit(0.0)).alias("room_left"))
