@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexicube.functions import text as T, vector as V
+from lexicube.functions.porter import stem
 from lexicube.operators import assign, cooc, cube, distinct, evalm, hier, hin, index, rank, select, sentence
-from lexicube.operators.common import current_rows, join_stats, sample_k
+from lexicube.operators.common import current_rows, join_stats, running, sample_k
+from lexicube.session import shared_folder
 from lexicube.sources import readers
 from lexicube.sources.grammar import RecordGrammar
-from lexicube.sources.lines import parse_files, parse_lines
+from lexicube.sources.lines import parse_files, parse_lines, recover
 
 DOCS = [(1, "a", 2), (1, "b", 1), (2, "a", 1), (2, "c", 1), (3, "a", 1), (3, "d", 2), (4, "b", 3), (5, "e", 1), (5, "a", 1)]
 CELLS = [("t", 1), ("t", 2), ("s1", 3), ("s1", 4), ("s2", 5)]
@@ -87,7 +89,7 @@ def test_coverage_selection_fixture(spark):
     assert select.first_fit([3, 9, 2], np.array([1, 5, 2.0]), 6) == [2, 0] and select.first_fit([3, 9, 2], np.array([1, 5, 2.0]), 6, True) == []
     assert len(select.novelty_summary(toks, {"a": 1.0}, count=2)) == 2
     assert select.share_summary(toks, np.zeros(4), {"a", "c", "d"}, 2) == [1, 2]
-    assert select.mmr_summary(toks, np.array([1, 1, 1, 1.0]), np.eye(4), 9)[0] == 2
+    assert select.spread_summary(toks, np.array([1, 1, 1, 1.0]), np.eye(4), 9)[0] == 2
     assert select.diverse_phrases(np.array([1.0, 0.9, 0.1]), np.eye(3), 1.0, 2) == [0, 1]
 
 
@@ -121,7 +123,9 @@ def test_evaluation(spark):
     assert evalm.dcg(d, "g").first().dcg == pytest.approx(2.541826, abs=1e-6)
     assert evalm.fragments("the cat sat . on mat".split(), "a cat sat on mat . on mat".split()) == [["cat", "sat"], ["on", "mat"]]
     p = spark.createDataFrame([(1, "a b c d".split(), "a x c d".split()), (2, [], ["a"])], "id long, cand array<string>, ref array<string>")
-    assert [x[0] for x in p.select(evalm.rouge_l(F.col("cand"), F.col("ref"))).collect()] == [0.75, None]
+    assert rows(evalm.rouge_l(p), "id", "precision") == [(1, 0.75), (2, None)]
+    pos = evalm.positions(r, "g", F.col("score").desc())
+    assert rows(pos, "score", "position") == [(0.6, 3), (0.7, 2), (0.8, 1), (0.9, 0)] and evalm.average_precision(r.limit(0), "g").count() == 0
     assert sentence.rouge_n(p, 2).where("id = 1").first().f1 == pytest.approx(1 / 3)
 
 
@@ -132,7 +136,10 @@ def test_hierarchy_and_network(spark):
     assert rows(hier.roll_up(links, n, 2).where("level = 2"), "node", "total") == [("a", 10)]
     assert rows(hier.follow(links, "a", ["r1", "r3"]), "node") == [("d",)]
     loop = links.unionByName(spark.createDataFrame([("b", "d", "r4", 1)], links.schema))
-    assert hier.paths(loop, depth=6).count() > 0
+    with pytest.raises(ValueError, match="cycle"):
+        hier.paths(loop)
+    chain = spark.createDataFrame([(str(i + 1), str(i), "r") for i in range(20)], "child string, parent string, relation string")
+    assert hier.paths(chain).agg(F.max("length")).first()[0] == 20 and hier.closure(chain).count() == 210 and hier.paths(chain.limit(0)).count() == 0
     e = spark.createDataFrame([("D", "1", "P", "x", 1.0, "dp"), ("D", "2", "P", "y", 2.0, "dp"), ("D", None, "P", "y", 2.0, "dp")], "src_type string, src string, dst_type string, dst string, weight double, edge_type string")
     assert rows(hin.node_ids(e), "type", "key", "local_id", "node_id") == [("D", "1", 0, 0), ("D", "2", 1, 1), ("P", "x", 0, 2), ("P", "y", 1, 3)]
 
@@ -209,31 +216,131 @@ def test_density_peak_against_plain_python(spark):
 
 
 def test_contrast_prefers_own_phrases(spark):
-    e = lambda p: [(1, a, b, 1.0) for a, b in p + [(b, a) for a, b in p]]
-    sch = "set_id long, src string, dst string, w double"
-    t, b = spark.createDataFrame(e([("own", "seed"), ("own", "both")]), sch), spark.createDataFrame(e([("both", "seed"), ("both", "far")]), sch)
-    got = rank.contrast(t, b, spark.createDataFrame([(1, "seed")], "set_id long, node string"), 2, 3)
-    assert got.orderBy(F.desc("score")).first().node == "own"
-
-
-def test_contrast_background_is_all_documents(spark, tmp_path, monkeypatch):
-    from lexicube.plans import catalog, summarize
-
-    words = [f"w{i}" for i in range(30)]
-    docs = [(i, 1, f"{words[i % 30]} {words[(i * 7) % 30]} same same. {words[(i * 11) % 30]}") for i in range(70)] + [(70, 2, "a b"), (71, None, "a b"), (72, 2, None)]
-    spark.createDataFrame(docs, "doc_id long, set_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    when = dt.datetime(2020, 1, 1)
-    spark.createDataFrame([(s, 0, "A b c. D e f.", when) for s in (1, 2)], "set_id long, doc_no int, docs string, ingested_at timestamp").write.parquet(f"{tmp_path}/doc_sets.parquet")
-    spark.createDataFrame([], "doc_id long, line_no int, phrase string, document_phrase_cnt int, ingested_at timestamp").write.parquet(f"{tmp_path}/doc_phrase.parquet")
-    seen = []
-    real = rank.contrast
-    monkeypatch.setattr(summarize.rank, "contrast", lambda target, background, *a: seen.append(background) or real(target, background, *a))
-    catalog.sumdocs_contrast(spark, str(tmp_path))
+    sch = "set_id long, tokens array<string>"
+    own = spark.createDataFrame([(1, ["own", "seed"]), (1, ["own", "both"]), (2, []), (None, ["x", "y"])], sch)
+    back = spark.createDataFrame([(1, ["both", "seed"]), (1, ["both", "far"]), (9, ["q", "r"])], sch)
+    got = rank.contrast(own, back, spark.createDataFrame([(1, "seed")], "set_id long, node string"), 2, 3)
+    assert got.orderBy(F.desc("score")).first().node == "own" and {r.set_id for r in got.collect()} == {1}
+    a, b, w = rank.window_graph([[0, 1, 0, 2, 3]], 4, True)
+    assert {(i, j): n for i, j, n in zip(a.tolist(), b.tolist(), w.tolist())}[0, 1] == 1 and len(w) == 13
+    assert rank.contrast(own.limit(0), back, spark.createDataFrame([], "set_id long, node string")).count() == 0
+
+
+def test_set_scores_equal_cell_scores(spark):
+    """The fixture of cell scores with the target as a set and the others as siblings."""
+    docs = spark.createDataFrame([("t", 1, ["a", "a", "b"]), ("t", 2, ["a", "c"]), (None, 3, ["a"])], "set_id string, doc_no int, tokens array<string>")
+    tf = spark.createDataFrame(DOCS, "doc_id long, phrase string, tf long")
+    sib = cube.cell_counts(tf, spark.createDataFrame([c for c in CELLS if c[0] != "t"], "cell string, doc_id long"))
+    got = {r.phrase: r.score for r in cube.set_scores(docs, sib).collect()}
+    assert got == {"a": pytest.approx(1.338806, abs=1e-6), "b": pytest.approx(0.064474, abs=1e-6), "c": pytest.approx(0.672157, abs=1e-6)}
+    cat = spark.createDataFrame([("t", "s1")], "set_id string, cell string")
+    assert cube.set_scores(docs, sib, cat).count() == 3 and cube.set_scores(docs, sib, cat.limit(0), twin=True).count() == 0
+    assert cube.set_scores(docs.limit(0), sib, cat).count() == 0 and cube.set_scores(docs, sib.limit(0)).count() == 3
+
+
+def test_running_sums_hot_nulls_empty(spark):
+    data = [("h", i, 1) for i in range(500)] + [(None, 5, 2), (None, 6, None), ("x", 1, 7)]
+    d = spark.createDataFrame(data, "g string, i int, v int")
+    got = {(r.g, r.i): r.s for r in running(d, ["g"], [F.col("i")], {"s": F.col("v")}).collect()}
+    assert got["h", 0] == 1 and got["h", 499] == 500 and got[None, 6] == 2 and got["x", 1] == 7
+    most = {(r.g, r.i): r.s for r in running(d, ["g"], [F.col("i")], {"s": F.when(F.col("i") % 100 == 7, F.col("i"))}, "max").collect()}
+    assert most["h", 6] is None and most["h", 7] == 7 and most["h", 306] == 207 and most["h", 499] == 407
+    assert running(d.limit(0), ["g"], [F.col("i")], {"s": F.col("v")}).count() == 0
+
+
+def test_sparse_nearest_against_brute_force(spark):
+    rnd = np.random.default_rng(3)
+    q = [(s, f"w{w}", float(rnd.random())) for s in range(7) for w in sorted(set(rnd.integers(0, 30, 8)))]
+    r = [(d, f"w{w}", float(rnd.random())) for d in range(40) for w in sorted(set(rnd.integers(0, 30, 6)))] + [(99, "none", 1.0), (None, "w1", 1.0), (98, None, 1.0)]
+    want = {}
+    for s in range(7):
+        dots = {}
+        for a, p, v in q:
+            for d, p2, w in r:
+                if a == s and p == p2 and d is not None:
+                    dots[d] = dots.get(d, 0) + v * w
+        want[s] = [d for d, _ in sorted(dots.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5]]
+    qd, rd = spark.createDataFrame(q, "set_id long, phrase string, v double"), spark.createDataFrame(r, "doc_id long, phrase string, w double")
+    got = index.sparse_nearest(qd, rd, 5, 20, 30).toPandas().sort_values(["set_id", "rank"])
+    assert {s: g["doc_id"].tolist() for s, g in got.groupby("set_id")} == want
+    assert index.sparse_nearest(qd.limit(0), rd).count() == 0 and index.sparse_nearest(qd, rd.limit(0)).count() == 0
+
+
+def test_tiles_give_the_same_as_one_block(spark):
+    toks = [[f"t{(i * j) % 7}" for j in range(1, 4)] for i in range(9)] + [[]]
+    s = spark.createDataFrame([(1, i, sorted(set(t)), [1.0] * len(set(t))) for i, t in enumerate(toks)], "set_id long, sent_no int, tokens array<string>, weights array<double>")
+    one, many = (rows(sentence.pair_products(s, b), "i", "j", "dot") for b in (2000, 2))
+    assert one == many == sorted((i, j, float(len(set(toks[i]) & set(toks[j])))) for i in range(9) for j in range(9) if i != j and set(toks[i]) & set(toks[j]))
+    v = [(i, "L" if i % 3 else "M", [float(i % 5), 1.0, float(i % 2)]) for i in range(30)] + [(77, "L", None), (78, None, [1.0, 1.0, 1.0])]
+    pool = spark.createDataFrame(v, "doc_id long, label string, vec array<double>")
+    m = pool.where("doc_id < 8").select((F.col("doc_id") % 2).alias("set_id"), "label", "vec").where("label = 'L'")
+    a, b = (rows(assign.neighbours(m, pool, 2, t), "set_id", "rank", "doc_id") for t in (4096, 3))
+    assert a == b and len(a) > 0 and assign.neighbours(m.limit(0), pool).count() == 0
+
+
+def test_label_blocks_and_large_sets(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 4), 1.0]) for i in range(20)] + [(50, None), (51, [1.0]), (52, [None, 1.0])], "doc_id long, vec array<double>")
+    labels = spark.createDataFrame([(f"l{i}", [float(i), 2.0 - i]) for i in range(7)], "label string, label_vec array<double>")
+    one = rows(assign.soft_assign(v, labels), "doc_id", "label", "margin")
+    monkeypatch.setattr(assign, "LABEL_BLOCK", 2)
+    assert rows(assign.soft_assign(v, labels), "doc_id", "label", "margin") == one and len(one) == 20
+    assert assign.soft_assign(v, labels.limit(0)).count() == 0 and assign.label_scores(v, labels).count() == 140
+    e = spark.createDataFrame([(s, f"n{i}", f"n{(i * k) % 6}", 1.0 + i) for s in (1, 2) for i in range(6) for k in (2, 5)], "set_id long, src string, dst string, w double")
+    near = lambda df: {(r.set_id, r.node): pytest.approx(r.score, abs=1e-9) for r in df.collect()}
+    assert {(r.set_id, r.node): r.score for r in rank.textrank_sets(e, 3, most_edges=0).collect()} == near(rank.textrank_sets(e, 3))
+    until = rank._per_set(e, lambda a, b, w, n, _: rank.textrank(a, b, w, n, tolerance=0.5))
+    assert {(r.set_id, r.node): r.score for r in rank._walk_joined(e, 0.85, None, 0.5).collect()} == near(until)
+
+
+def test_recovery_equals_the_file_rule(spark):
+    rnd = np.random.default_rng(5)
+    good = lambda i: f"{i} 0.5 {i % 7}"
+    kinds = [good, good, lambda i: f'{i} "0.5 1', lambda i: "lost text", lambda i: f"{i} x 1", lambda i: "3 2", lambda i: f'{i} "0.5" 1', lambda i: 'no "anchor\x00', lambda i: ""]
+    lines = [kinds[rnd.integers(0, len(kinds))](i) for i in range(300)]
+    g, at, starts = RecordGrammar(2), 0, {}
+    for i, x in enumerate(lines):
+        starts[at] = i
+        at += len(x) + 1
     want = {}
-    for _, s, text in docs:
-        t = (text or "").replace(".", "").split() if s else []
-        for i, a in enumerate(t):
-            for b in t[i + 1 : i + 5]:
-                for e in ((s, a, b), (s, b, a)):
-                    want[e] = want.get(e, 0) + 1
-    assert {(r.set_id, r.src, r.dst): r.w for r in seen[0].collect()} == want
+    for o in g.file("\n".join(lines)):
+        for k in range(o.start, max(o.end, o.start + 1)):
+            if k in starts:
+                want[starts[k]] = (o.kind if k == o.start and "\n" not in "\n".join(lines)[o.start : o.end] else "error", o.reason)
+    d = spark.createDataFrame([("f", i, x, 1) for i, x in enumerate(lines)] + [(None, 0, good(1), 1), ("g", 0, None, 1)], "file_name string, line_id long, raw_line string, kind int")
+    got = {r.line_id: (r.kind, r.reason) for r in recover(d, dim=2).where("file_name = 'f'").collect()}
+    assert all(got[i][0] == w[0] or got[i][0] == "skipped" for i, w in want.items()) and len(got) == 300
+    assert {i for i, x in got.items() if x[0] == "record"} == {i for i, w in want.items() if w[0] == "record"}
+    assert recover(d.limit(0)).count() == 0
+
+
+def test_choice_of_sentences_and_phrases(spark):
+    s = spark.createDataFrame([(1, i, t.split()) for i, t in enumerate(("a b c", "a b d", "e f", "g"))] + [(2, 0, None), (None, 0, ["a"])], "set_id long, sent_no int, tokens array<string>")
+    sc = spark.createDataFrame([(1, 0, 5.0), (1, 1, 4.9), (1, 2, 4.0)], "set_id long, sent_no int, score double")
+    picks = lambda m, b, **k: [r.sent_no for r in select.select_scored(s, sc, m, b, **k).where("set_id = 1").orderBy("pick").collect()]
+    assert picks("first_fit", 5) == [0, 2] and picks("first_stop", 5) == [0] and picks("spread_count", 2) == [0, 2]
+    assert picks("share", 2, phrases=s.select("set_id", F.explode("tokens").alias("phrase"))) == [0, 2]
+    assert select.select_scored(s.limit(0), sc, "first_fit", 5).count() == 0
+    p = spark.createDataFrame([(1, "a", 1.0, [1.0, 0.0]), (1, "b", 0.9, [1.0, 0.1]), (1, "c", 0.5, [0.0, 1.0]), (1, "d", 0.1, None)], "set_id long, phrase string, score double, vec array<double>")
+    assert [r.phrase for r in select.select_phrases(p, 2).orderBy("pick").collect()][0] == "a"
+
+
+def test_stems():
+    got = [stem(w) for w in ("caresses", "ponies", "cats", "agreed", "plastered", "motoring", "conflated", "hopping", "falling", "happy", "relational", "formalize", "electrical", "adjustment", "controlling", "roll", "is")]
+    assert got == ["caress", "poni", "cat", "agre", "plaster", "motor", "conflat", "hop", "fall", "happi", "relat", "formal", "electr", "adjust", "control", "roll", "is"]
+
+
+def test_cluster_without_a_shared_folder_is_an_error(spark):
+    class Context:
+        master = "spark://host"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session())
