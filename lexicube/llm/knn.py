@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexicube.llm.vectors import all_vectors, matrix
-from lexicube.session import cut, drop_cut
+from lexicube.session import cut, slots
 
 #: Rows of a block side: a task holds two blocks of float32 vectors and one strip of products.
 BLOCK = 8192
@@ -128,11 +128,13 @@ def nearest(vectors: DataFrame, k: int = 10, margin: float = 0.25, among: DataFr
     decides: in 100 dimensions a pair of a cosine of 0.9 is 0.45 apart, of which a random
     direction holds 0.045, so the margin is over five of these. Recall of the ten nearest and
     the share of pairs compared are in the README, as measured. ``margin`` 2 compares
-    with all lists and is exact. Each pair of a list's members and the vectors that
-    ask it is a product of blocks of at most ``block`` rows on average (both sides
-    are split by a hash of the id), so a list with a third of all vectors becomes
-    many tasks. The per-block results, at most k per vector, are merged by a sort of
-    at most k entries per block.
+    with all lists and is exact.
+
+    Lists that are near each other form a group of about ``block`` vectors, and a vector is
+    sent once to each group in which it asks a list: mostly one to three, as the lists near
+    it are near each other. Both sides of a group are split by a hash of the id into parts of
+    about ``block`` rows, so a list with a third of all vectors becomes many tasks. A task
+    gives at most k neighbours a vector; those of its groups are merged by a sort.
 
     An empty table gives an empty one; fewer than k others give as many as there are;
     equal vectors are ordinary neighbours with cosine 1. Only with ``among`` may a
@@ -150,62 +152,87 @@ def nearest(vectors: DataFrame, k: int = 10, margin: float = 0.25, among: DataFr
     lists = max(1, min(sample // 4, math.ceil(math.sqrt(n) / 2)))
     drawn = held.select(F.xxhash64("id").alias("h"), "v").orderBy("h").limit(sample).toPandas()
     centres = fit_lists(matrix(drawn["v"]), lists)
-    sent = spark.sparkContext.broadcast((centres, np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)).astype(np.float32)))
+    groups = max(1, min(lists, max(-(-n // block), 2 * slots(spark))))
+    home = (centres @ fit_lists(centres, groups).T).argmax(axis=1).astype(np.int32)
+    sent = spark.sparkContext.broadcast((centres, np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)).astype(np.float32), home))
+
+    def lists_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own list of each row; rows and lists of all that is asked, by row and group."""
+        centres, gap, home = sent.value
+        aff = matrix(pdf["v"]) @ centres.T
+        own = aff.argmax(axis=1)
+        row, at = np.nonzero(aff.max(axis=1)[:, None] - aff <= margin * gap[own])
+        order = np.lexsort((at, home[at], row))
+        return own, row[order], at[order]
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, gap = sent.value
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        home = sent.value[2]
         for pdf in batches:
-            if not len(pdf):
-                continue
-            aff = matrix(pdf["v"]) @ centres.T
-            own = aff.argmax(axis=1)
-            ask = aff.max(axis=1)[:, None] - aff <= margin * gap[own]
-            yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "list": own.astype(np.int32), "asks": [np.flatnonzero(a).astype(np.int32) for a in ask]})
-
-    place = lambda df: cut(df.mapInPandas(assign, "id long, v binary, list int, asks array<int>"), "placed")
-    placed = place(held)
-    asker = placed if among is None else place(vectors.select("id", "v"))
-    drop_cut(held)
-    members = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    asking = {r["list"]: r["n"] for r in asker.select(F.explode("asks").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = [(b, -(-members[b] // block), -(-asking[b] // block)) for b in asking if b in members]
+            if len(pdf):
+                own, row, at = lists_of(pdf)
+                once = np.unique(row * (home.max() + 1) + home[at]) % (home.max() + 1)
+                yield pd.DataFrame({"grp": np.arange(groups, dtype=np.int32), "members": np.bincount(home[own], minlength=groups), "asking": np.bincount(once, minlength=groups)})
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, _, home = sent.value
+        for pdf in batches:
+            if len(pdf):
+                own = (matrix(pdf["v"]) @ centres.T).argmax(axis=1)
+                yield pd.DataFrame({"m_id": pdf["id"], "m_v": pdf["v"], "m_list": own.astype(np.int32), "m_grp": home[own]})
+
+    def askers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        home = sent.value[2]
+        for pdf in batches:
+            if len(pdf):
+                _, row, at = lists_of(pdf)
+                first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (home[at[1:]] != home[at[:-1]]))))
+                ends, at = np.append(first[1:], len(at)), at.astype(np.int32)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[row[first]], "v": pdf["v"].to_numpy()[row[first]], "asks": [at[i:j] for i, j in zip(first, ends)], "grp": home[at[first]]})
+
+    asker = held if among is None else cut(vectors.select("id", "v"), "asking")
+    size = "grp int, members long, asking long"
+    per = {r.grp: r for r in held.mapInPandas(count, size).groupBy("grp").agg(F.sum("members").alias("members"), F.sum("asking").alias("asking")).collect()}
+    asking = {g: r.asking for g, r in per.items()} if among is None else {r.grp: r.asking for r in asker.mapInPandas(count, size).groupBy("grp").agg(F.sum("asking").alias("asking")).collect()}
+    plan = [(g, max(1, -(-per[g].members // block)), max(1, -(-asking[g] // block))) for g in asking if g in per and asking[g] and per[g].members]
     if not plan:
         return spark.createDataFrame([], near_type)
-    parts = F.broadcast(spark.createDataFrame(plan, "list int, m_parts int, q_parts int"))  # one row a list
-    salt = lambda c: F.pmod(F.xxhash64("id", F.lit(1)), F.col(c)).cast("int")
+    parts = F.broadcast(spark.createDataFrame(plan, "grp int, m_parts int, q_parts int"))  # one row a group
+    salt = lambda id, c: F.pmod(F.xxhash64(id, F.lit(1)), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = asker.select("id", "v", F.explode("asks").alias("list")).join(parts, "list").select("id", "v", "list", salt("q_parts").alias("q_part"), every("m_parts").alias("m_part"))
-    right = placed.select("id", "v", "list").join(parts, "list").select("id", "v", "list", salt("m_parts").alias("m_part"), every("q_parts").alias("q_part"))
-    right = right.toDF("m_id", "m_v", "m_list", "m_m_part", "m_q_part")  # fresh names: both sides may come from one table
-
+    left = asker.select("id", "v").mapInPandas(askers, "id long, v binary, asks array<int>, grp int").join(parts, "grp").select("id", "v", "asks", "grp", salt("id", "q_parts").alias("q_part"), every("m_parts").alias("m_part"))
+    right = held.mapInPandas(members, "m_id long, m_v binary, m_list int, m_grp int").join(parts.withColumnRenamed("grp", "m_grp"), "m_grp").select("m_id", "m_v", "m_list", "m_grp", salt("m_id", "m_parts").alias("m_m_part"), every("q_parts").alias("m_q_part"))
     alone = among is None
-
-    def compared() -> float:
-        """Pairs of vectors compared, per vector of the table."""
-        return sum(members[b] * asking[b] for b, *_ in plan) / max(1, sum(members.values()))
-
-    nearest.compared = compared
+    near_arrow = pa.list_(pa.struct([("sim", pa.float64()), ("id", pa.int64())]))
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        got: list[tuple] = []
-        ids, counts = [], []
+        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if a.num_rows and b.num_rows:
             qid, q = _rows(a, "id", "v")
             mid, m = _rows(b, "m_id", "m_v")
-            for i, j, sim in nearest_in_block(qid, q, mid, m, k, alone=alone):
-                rows, c = np.unique(i, return_counts=True)
-                ids.append(qid[rows])
-                counts.append(c)
-                got.append((sim, mid[j]))
-        if not ids:
+            asks = a.column("asks").combine_chunks()
+            asks = asks if isinstance(asks, pa.Array) else pa.concat_arrays(asks.chunks)
+            who, which = np.repeat(np.arange(len(asks)), asks.value_lengths().to_numpy()), asks.flatten().to_numpy()
+            who, which = who[order := np.argsort(which, kind="stable")], which[order]
+            own = b.column("m_list").to_numpy()
+            at = np.argsort(own, kind="stable")
+            for x in np.unique(own):
+                rows = who[slice(*np.searchsorted(which, (x, x + 1)))]
+                held_ = at[slice(*np.searchsorted(own[at], (x, x + 1)))]
+                if len(rows):
+                    got += [(rows[i], mid[held_[j]], sim) for i, j, sim in nearest_in_block(qid[rows], q[rows], mid[held_], m[held_], k, alone=alone)]
+        if not got:
             return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], near_arrow)})
-        sims, others = (np.concatenate(x) for x in zip(*got))
-        offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(sims), pa.array(others)], names=["sim", "id"])
-        return pa.table({"id": pa.array(np.concatenate(ids)), "near": pa.ListArray.from_arrays(pa.array(offsets), pairs)})
+        i, other, sim = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((other, -sim, i))
+        i, other, sim = i[order], other[order], sim[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, other, sim = i[best], other[best], sim[best]
+        rows, n = np.unique(i, return_counts=True)
+        offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(sim), pa.array(other)], names=["sim", "id"])
+        return pa.table({"id": pa.array(qid[rows]), "near": pa.ListArray.from_arrays(pa.array(offsets), pairs)})
 
-    near_arrow = pa.list_(pa.struct([("sim", pa.float64()), ("id", pa.int64())]))
-    tiles = left.groupBy("list", "m_part", "q_part").cogroup(right.groupBy("m_list", "m_m_part", "m_q_part")).applyInArrow(tile, near_type)
+    tiles = left.groupBy("grp", "m_part", "q_part").cogroup(right.groupBy("m_grp", "m_m_part", "m_q_part")).applyInArrow(tile, near_type)
     order = lambda x: F.struct((-x["sim"]).alias("d"), x["id"].alias("id"))
     merged = tiles.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
     best = F.slice(F.array_sort(F.transform("near", order)), 1, k)
