@@ -307,3 +307,21 @@ def spherical_kmeans(docs: DataFrame, k: int = 50, rounds: int = 20, seed: int =
 def membership(clusters: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, cluster): the cluster of every document asked for, -1 if it is in none."""
     return docs.select("doc_id").join(clusters.select("doc_id", "cluster"), "doc_id", "left").select("doc_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def document_vectors(docs: DataFrame, dim: int = 100, least: int = 5, window: int = 5, seed: int = 7) -> DataFrame:
+    """(doc_id, vec): means of word vectors that Spark's own skip-gram training gives.
+
+    ``docs`` (doc_id, tokens). Words below ``least`` occurrences have no vector; documents
+    without a known word get zeros. The trainer keeps one vector a known word on the
+    driver, so ``least`` bounds its memory. An empty table gives an empty one.
+    """
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    rows = docs.where("doc_id is not null and tokens is not null").select("doc_id", "tokens")
+    words = rows.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    if words.isEmpty():
+        return rows.select("doc_id", F.array_repeat(F.lit(0.0), dim).alias("vec"))
+    model = Word2Vec(vectorSize=dim, minCount=least, windowSize=window, seed=seed, inputCol="tokens", outputCol="v").fit(rows)
+    return model.transform(rows).select("doc_id", vector_to_array("v").alias("vec"))

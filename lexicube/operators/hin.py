@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexicube.functions.vector import dot, edge_rep, sigmoid
@@ -93,3 +97,52 @@ def clip_norm(vec: Column, most: float) -> Column:
     """A gradient scaled down so that its length is at most ``most``."""
     n = F.sqrt(dot(vec, vec))
     return F.when(n > most, F.transform(vec.cast("array<double>"), lambda x: x * most / n)).otherwise(vec.cast("array<double>"))
+
+
+def dense_layers(df: DataFrame, vec: str, layers: list[tuple[np.ndarray, np.ndarray | None]], keep: tuple[str, ...], last: str = "none") -> DataFrame:
+    """(keep…, vec): vectors through dense layers (weights, bias) with relu between them, in Arrow batches.
+
+    ``last`` is what follows the last layer: ``none``, ``relu`` or ``log_softmax``. Weights
+    are a model's fixed small matrices. Rows whose vector is null, incomplete or of another
+    length don't come out.
+    """
+    dim = layers[0][0].shape[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["__v"].to_numpy()).astype(float)
+            for i, (w, b) in enumerate(layers):
+                x = x @ w + (0.0 if b is None else b)
+                if i + 1 < len(layers) or last == "relu":
+                    x = np.maximum(x, 0)
+            if last == "log_softmax":
+                x = x - x.max(axis=1, keepdims=True)
+                x = x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+            yield pdf[list(keep)].assign(vec=list(x))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", vec array<double>"
+    good = df.select(*keep, F.col(vec).cast("array<double>").alias("__v")).where((F.size("__v") == dim) & F.forall("__v", lambda x: x.isNotNull()))
+    return good.mapInPandas(run, schema)
+
+
+def graph_convolution(edges: DataFrame, features: DataFrame, weight: np.ndarray, bias: np.ndarray | None = None, last: str = "relu") -> DataFrame:
+    """(node, vec): A (X W) + b of one layer; ``edges`` (src, dst, w) sum the sources' vectors into their ends.
+
+    ``features`` (node, vec). Sums are added up per dimension on the map side first, so a
+    node with a third of all edges is no single task. Nodes without an edge into them don't
+    come out.
+    """
+    x = dense_layers(features, "vec", [(weight, None)], ("node",))
+    out = weight.shape[1]
+    joined = edges.join(x.withColumnRenamed("node", "src"), "src")
+    sums = [F.sum(F.get("vec", F.lit(i)) * F.col("w")).alias(f"d{i}") for i in range(out)]
+    b = np.zeros(out) if bias is None else bias
+    agg = joined.groupBy(F.col("dst").alias("node")).agg(*sums).select("node", *[(F.col(f"d{i}") + float(b[i])).alias(f"d{i}") for i in range(out)])
+    vec = F.array(*[F.col(f"d{i}") for i in range(out)])
+    if last == "log_softmax":
+        top = F.array_max(vec)
+        whole = F.aggregate(F.transform(vec, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
+        return agg.select("node", F.transform(vec, lambda v: v - top - F.log(whole)).alias("vec"))
+    return agg.select("node", (F.transform(vec, lambda v: F.greatest(v, F.lit(0.0))) if last == "relu" else vec).alias("vec"))

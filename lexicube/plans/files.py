@@ -388,3 +388,21 @@ def stemmed_words(spark, d):
     docs = table(spark, d, "documents").where("lang = 'en' and text is not null")
     words = docs.select(F.explode(T.tokens(F.col("text"))).alias("word")).where(T.is_eng(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return readers.stems(words).groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_words"))
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL)), k AS (SELECT doc_id, trim(s, ' ') AS s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS no FROM s WHERE trim(s, ' ') <> '')
+SELECT doc_id // 10 AS event, doc_id AS id, no::INT AS sent_no, s AS sentence, len(regexp_extract_all(s, '[a-z]+ [a-z]+'))::INT AS n_phrases FROM k WHERE len(regexp_extract_all(s, '[a-z]+ [a-z]+')) > 0 AND length(s) >= 5""")
+def event_sentences(spark, d):
+    """Sentences with a tagged phrase, by events of ten documents each."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", "([a-z]+ [a-z]+)", "<phrase>$1</phrase>").alias("x"))
+    return readers.event_sentences(docs, "doc_id", "x").select("event", "id", "sent_no", "sentence", F.size("phrases").alias("n_phrases"))
+
+
+@query(f"WITH {S.TF}, {S.IDF}, r AS (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY tf * idf DESC, phrase) AS r FROM tf JOIN idf USING (phrase)) SELECT doc_id, string_agg(phrase, ';' ORDER BY phrase) AS phrases FROM r WHERE r <= 3 AND NOT contains(phrase, ';') GROUP BY doc_id")
+def saved_annotations(spark, d):
+    """Chosen phrases of every document as text, read back."""
+    path = new_path(spark, "annotations")
+    top = index.tfidf_top(cut(C.word_tf(spark, d), "tf"), 3).where(~F.col("phrase").contains(";")).select("doc_id", "phrase")
+    sinks.annotations(top, path)
+    part = F.split("value", "\t", 2)
+    return spark.read.text(path).select(F.get(part, F.lit(0)).cast("long").alias("doc_id"), F.get(part, F.lit(1)).alias("phrases"))

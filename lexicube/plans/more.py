@@ -5,6 +5,7 @@ Each reaches one or two operators that the catalog's queries don't, with its SQL
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexicube.functions import text as T, vector as V
@@ -529,3 +530,42 @@ def twin_phrases(spark, d):
     of = lambda s: tf.join(table(spark, d, "documents").where(F.col("source") == s).select("doc_id"), "doc_id", "left_semi").select("phrase").distinct()
     a, b = cut(of("wire"), "target"), cut(of("metro_daily"), "twin")
     return a.subtract(b).withColumn("held", F.lit("target")).union(b.subtract(a).withColumn("held", F.lit("twin"))).union(a.intersect(b).withColumn("held", F.lit("both")))
+
+
+# layers -------------------------------------------------------------------------------------------
+
+
+def _weights(rows: int, cols: int) -> np.ndarray:
+    """Small fixed weights for tests."""
+    return ((np.arange(rows)[:, None] * 7 + np.arange(cols)[None] * 3) % 11 - 5) / 10
+
+
+def _layer(vec: str, rows: int, cols: int) -> str:
+    return f"list_transform(range({cols}), lambda j: list_sum(list_transform(range({rows}), lambda i: {vec}[i + 1] * (((i * 7 + j * 3) % 11 - 5) / 10.0))))"
+
+
+@query(f"WITH h AS (SELECT vec_id AS doc_id, list_transform({_layer('embedding', 64, 5)}, lambda x: greatest(x, 0)::DOUBLE) AS h FROM embeddings), o AS (SELECT doc_id, {_layer('h', 5, 2)} AS o FROM h) SELECT doc_id, round(o[1], 6) AS first, round(o[2], 6) AS second FROM o")
+def mapped_vectors(spark, d):
+    """Vectors through two dense layers with relu between."""
+    out = hin.dense_layers(C._vecs(spark, d), "vec", [(_weights(64, 5), None), (_weights(5, 2), None)], ("doc_id",))
+    return out.select("doc_id", F.round(F.get("vec", F.lit(0)), 6).alias("first"), F.round(F.get("vec", F.lit(1)), 6).alias("second"))
+
+
+_GCN = f"x AS (SELECT vec_id AS node, {_layer('embedding', 64, 3)} AS x FROM embeddings), e AS (SELECT a.vec_id AS src, b.vec_id AS dst, 1.0 / (b.vec_id - a.vec_id) AS w FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 3), s AS (SELECT dst AS node, sum(x[1] * w) + 0.1 AS a, sum(x[2] * w) + 0.2 AS b, sum(x[3] * w) + 0.3 AS c FROM e JOIN x ON node = src GROUP BY dst)"
+
+
+@query(f"WITH {_GCN} SELECT node, round(a - ln(exp(a) + exp(b) + exp(c)), 6) AS first, round(greatest(b, 0), 6) AS second FROM s")
+def graph_convolution(spark, d):
+    """One graph convolution over neighbouring numbers, with log-softmax and with relu."""
+    v = C._vecs(spark, d).select(F.col("doc_id").alias("node"), "vec")
+    e = v.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")).select("src", (F.col("src") + F.col("n")).alias("dst"), (1.0 / F.col("n")).alias("w"))
+    e = e.join(v.select(F.col("node").alias("dst")), "dst", "left_semi")
+    soft, plain = (hin.graph_convolution(e, v, _weights(64, 3), np.array([0.1, 0.2, 0.3]), last) for last in ("log_softmax", "relu"))
+    return soft.join(plain.withColumnRenamed("vec", "r"), "node").select("node", F.round(F.get("vec", F.lit(0)), 6).alias("first"), F.round(F.get("r", F.lit(1)), 6).alias("second"))
+
+
+@query()
+def document_vectors(spark, d):
+    """Trained document vectors: their length, which no SQL gives."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    return assign.document_vectors(docs, 20).select("doc_id", F.round(V.norm(F.col("vec")), 4).alias("length"))

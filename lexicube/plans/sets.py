@@ -158,17 +158,24 @@ QUERIES |= {name: _summary(m) for name, m in {"sumdocs_contrast": "sumdocs", "su
 @query()
 def sumdocs_contrast_knn(spark, d):
     """As ``sumdocs_contrast`` for the sets of ``documents`` with vectors: compared with the 2n nearest of their label."""
-    v = C._vecs(spark, d).where("label is not null")
+    v = cut(C._vecs(spark, d).select("doc_id", "vec"), "vectors")
     docs = table(spark, d, "documents").where("text is not null and set_id is not null").select("doc_id", "set_id", "text")
-    own = cut(docs.join(v.select("doc_id", "vec"), "doc_id").select("set_id", F.col("doc_id").alias("doc_no"), "text", "vec"), "own")
+    own = cut(docs.join(v, "doc_id").withColumn("doc_no", F.col("doc_id")), "own")
     back = cut(table(spark, d, "documents").where("text is not null").select("doc_id", T.tokens(F.col("text")).alias("tokens")), "background")
-    given = cut(C._assigned(spark, d), "assigned")
-    voted = C.assign.majority_label(given, own.select("set_id", F.col("doc_no").alias("doc_id"))).select("set_id", "label")
-    near = C.assign.neighbours(own.join(voted, "set_id").select("set_id", "label", "vec"), v.drop("label").join(given.select("doc_id", "label"), "doc_id"))
-    c = summarize.Collection(cut(own.select("set_id", "doc_no", T.tokens(F.col("text")).alias("tokens")), "docs"), back, given)
-    scores = summarize.phrase_scores(c, "sumdocs", retrieved=near)
+    words = cut(own.select("set_id", "doc_no", T.tokens(F.col("text")).alias("tokens")), "docs")
+    c = summarize.Collection(words, back, cut(C._assigned(spark, d), "assigned"), own.select("set_id", "doc_id", "vec"), v)
     sents = cut(sentence.sentence_tokens(own, "text", T.sentences, T.tokens), "sentences")
-    return summarize.from_scores(sents, scores)
+    return summarize.summarise(c, sents, "sumdocs", kind="vectors")
+
+
+@query(f"WITH {S.ASSIGN}, v AS (SELECT set_id, b.label, count(*) AS n FROM best b JOIN documents d ON d.doc_id = b.doc_id WHERE set_id IS NOT NULL GROUP BY ALL), m AS (SELECT set_id, arg_max(label, struct_pack(n := n, k := -label)) AS label FROM v GROUP BY set_id) SELECT set_id, b.doc_id FROM m JOIN best b USING (label) WHERE b.doc_id IN (SELECT doc_id FROM documents WHERE source = 'wire')")
+def pool_candidates(spark, d):
+    """For every set the documents of its voted label that a pool (one source) holds."""
+    given = cut(C._assigned(spark, d), "assigned")
+    docs = table(spark, d, "documents")
+    voted = C.assign.majority_label(given, docs.where("set_id is not null")).select("set_id", "label")
+    held = given.join(docs.where("source = 'wire'").select("doc_id"), "doc_id", "left_semi")
+    return held.join(voted, "label").select("set_id", "doc_id")
 
 
 # sentence choice -----------------------------------------------------------------------

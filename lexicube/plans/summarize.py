@@ -23,12 +23,15 @@ class Collection:
     """What the methods read.
 
     ``docs`` (set_id, doc_no, tokens) the sets' documents, ``background`` (doc_id, tokens),
-    ``assigned`` (doc_id, label, margin) labels of background documents.
+    ``assigned`` (doc_id, label, margin) labels of background documents. For the search by
+    vectors also ``set_vectors`` (set_id, doc_id, vec) and ``vectors`` (doc_id, vec).
     """
 
     docs: DataFrame
     background: DataFrame
     assigned: DataFrame
+    set_vectors: DataFrame | None = None
+    vectors: DataFrame | None = None
 
 
 def from_scores(sents: DataFrame, scores: DataFrame, budget: int = 200) -> DataFrame:
@@ -63,6 +66,23 @@ def retrieve(c: Collection, k: int = 50) -> DataFrame:
     return index.sparse_nearest(sums, rows, k)
 
 
+def retrieve_by_vectors(c: Collection, factor: int = 2) -> DataFrame:
+    """(set_id, doc_id, distance, rank): the ``factor`` * n documents nearest to a set of n with vectors, within its category."""
+    category = assign.majority_label(c.assigned, c.set_vectors.select("set_id", "doc_id")).select("set_id", "label")
+    members = c.set_vectors.join(category, "set_id").select("set_id", "label", "vec")
+    return assign.neighbours(members, c.vectors.join(c.assigned.select("doc_id", "label"), "doc_id"), factor)
+
+
+SEARCHES = {"tfidf": retrieve, "vectors": retrieve_by_vectors}
+
+
+def search(c: Collection, kind: str = "tfidf") -> DataFrame:
+    """The documents a set is compared with, by one of ``SEARCHES``."""
+    if kind not in SEARCHES:
+        raise ValueError(f"kind must be one of {tuple(SEARCHES)}")
+    return SEARCHES[kind](c)
+
+
 def siblings(c: Collection, per_label: int = 100) -> DataFrame:
     """(cell, phrase, tf, df): words of the ``per_label`` surest background documents of every label."""
     top = assign.rank_in_label(c.assigned, "margin", per_label).select(F.col("label").cast("string").alias("cell"), "doc_id")
@@ -76,7 +96,7 @@ def categories(c: Collection, found: DataFrame) -> DataFrame:
     return vote.select("set_id", F.col("label").cast("string").alias("cell"))
 
 
-def phrase_scores(c: Collection, method: str = "sumdocs", topk: int = 100, rounds: int = 10, terms: int = 200, retrieved: DataFrame | None = None) -> DataFrame:
+def phrase_scores(c: Collection, method: str = "sumdocs", topk: int = 100, rounds: int = 10, terms: int = 200, kind: str = "tfidf") -> DataFrame:
     """(set_id, phrase, score) of every set by one of ``METHODS``.
 
     * ``caseOLAP``: the 30 best words of the set as a cell against sibling cells;
@@ -86,7 +106,7 @@ def phrase_scores(c: Collection, method: str = "sumdocs", topk: int = 100, round
     * ``sumdocs_wo_twins``: the seed walk on the own graph alone;
     * ``sumdocs_textrank``: the plain walk on window counts; ``graph_degen``: core numbers.
 
-    ``retrieved`` (set_id, doc_id) replaces :func:`retrieve`, for another kind of search.
+    ``kind`` is the search for the documents a set is compared with (:func:`search`).
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
@@ -100,7 +120,7 @@ def phrase_scores(c: Collection, method: str = "sumdocs", topk: int = 100, round
             got = rank.textrank_sets(both.groupBy("set_id", "src", "dst").agg(F.sum("w").alias("w")))
             return best(got.withColumnRenamed("node", "phrase"), topk)
         return rank.cores_sets(once.where("src <> dst")).withColumnRenamed("node", "phrase")
-    found = cut((retrieve(c) if retrieved is None else retrieved).select("set_id", "doc_id"), "retrieved")
+    found = cut(search(c, kind).select("set_id", "doc_id"), "retrieved")
     sib, cat = cut(siblings(c), "siblings"), cut(categories(c, found), "categories")
     scored = cut(cube.set_scores(c.docs, sib, cat), "scores")
     if method == "caseOLAP":
@@ -119,6 +139,6 @@ def phrase_scores(c: Collection, method: str = "sumdocs", topk: int = 100, round
     return rank.contrast(c.docs, back, seeds, topk, rounds, terms=terms).withColumnRenamed("node", "phrase")
 
 
-def summarise(c: Collection, sents: DataFrame, method: str = "sumdocs", budget: int = 200) -> DataFrame:
+def summarise(c: Collection, sents: DataFrame, method: str = "sumdocs", budget: int = 200, kind: str = "tfidf") -> DataFrame:
     """Summaries of every set: phrases by ``method``, sentences by coverage within ``budget`` tokens."""
-    return from_scores(sents, phrase_scores(c, method), budget)
+    return from_scores(sents, phrase_scores(c, method, kind=kind), budget)

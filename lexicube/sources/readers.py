@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexicube.functions.text import join_phrases, phrase_spans
+from lexicube.functions.text import join_phrases, phrase_spans, sentences, strip_markup
 from lexicube.sources.lines import parse_lines
 
 ANNOTATED = "id long, token array<string>, pos array<string>, ner array<struct<text:string,start:int,end:int,type:string>>"
@@ -148,6 +148,16 @@ def segmented(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key), phrase_spans(F.col(text)).alias("phrases"), tokens.alias("tokens"))
 
 
+def event_sentences(df: DataFrame, key: str, text: str, rows: int = 10, least: int = 5) -> DataFrame:
+    """(event, sent_no, sentence, phrases) of segmented text: events are ranges of ``rows`` ids.
+
+    Sentences of ``least`` characters or more with one tagged phrase or more; tags are removed.
+    """
+    each = df.select(F.col(key).alias("id"), F.posexplode(sentences(F.col(text))).alias("sent_no", "s")).where(F.size(phrase_spans(F.col("s"))) > 0)
+    plain = each.select(F.floor(F.col("id") / rows).alias("event"), "id", "sent_no", strip_markup(F.col("s")).alias("sentence"), phrase_spans(F.col("s")).alias("phrases"))
+    return plain.where(F.length("sentence") >= least)
+
+
 def mapping(spark: SparkSession, path: str) -> DataFrame:
     """(name, id) of a two-column TSV."""
     return spark.read.schema("name string, id string").option("sep", "\t").option("quote", "").csv(path)

@@ -64,3 +64,9 @@ def similar_edges(df: DataFrame, path: str, above: float = 15.0) -> None:
 def sentence_lines(sents: DataFrame, path: str) -> None:
     """One sentence a line behind its set and a tab; files hold whole ranges of sets, not one set each."""
     sents.select(F.concat_ws("\t", F.col("set_id").cast("string"), "sentence").alias("value")).write.mode("overwrite").text(path)
+
+
+def annotations(rows: DataFrame, path: str) -> None:
+    """Chosen phrases of every document, one document a line: id, tab, phrases joined by ``;``."""
+    line = F.array_join(F.sort_array(F.collect_list("phrase")), ";")
+    rows.groupBy("doc_id").agg(line.alias("p")).select(F.concat_ws("\t", F.col("doc_id").cast("string"), "p").alias("value")).write.mode("overwrite").text(path)
