@@ -58,12 +58,12 @@ def read_sets(spark, d):
     return readers.document_sets(raw, "set_id", "line").groupBy("set_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("SELECT regexp_replace(text, '[\\n\\r\\t]+', ' ', 'g') AS text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, regexp_replace(text, '[\\n\\r\\t]+', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL")
 def read_lines(spark, d):
     """Background documents, one a line, with ids of their own."""
-    path = _lines(table(spark, d, "documents").where("text is not null").select(F.regexp_replace("text", "[\\n\\r\\t]+", " ")), "lines")
-    got = readers.text_lines(spark, path)
-    return got.groupBy("text").agg(F.count_distinct("doc_id").alias("n"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", "[\\n\\r\\t]+", " ").alias("value"))
+    path = _lines(docs.orderBy("doc_id").select("value"), "lines")
+    return readers.text_lines(spark, path)
 
 
 _NPH = f"cur AS (SELECT doc_id, x.p AS phrases FROM (SELECT doc_id, arg_max(struct_pack(p := phrases), ingested_at) AS x FROM news GROUP BY doc_id)), ph AS (SELECT doc_id, trim({S.CANON.format('p')}) AS phrase FROM (SELECT doc_id, unnest(string_split(e, ';')) AS p FROM (SELECT doc_id, unnest(phrases) AS e FROM cur) WHERE e IS NOT NULL))"
@@ -132,11 +132,12 @@ def read_typed_vectors(spark, d):
     return readers.typed_embeddings(spark, _vec_file(spark, d, key), 64).select("type", "id", _sum("vec").alias("total"))
 
 
-@query(f"WITH {_EMB} SELECT 't' || vec_id AS label, round(list_sum(v), 4) AS total FROM e WHERE vec_id < 20")
+@query(f"WITH {_EMB} SELECT 't' || vec_id AS label, round(list_sum(v), 4) AS total FROM e WHERE vec_id < 20 UNION ALL SELECT 'none', NULL")
 def read_topics(spark, d):
-    """Vectors of topics by the names of a topic list; names without a vector don't come out."""
+    """Vectors of topics by the names of a topic list; names without a vector are reported with none."""
     names = spark.range(20).select(F.concat(F.lit("t"), "id").alias("label")).union(spark.createDataFrame([("none",)], "label string"))
-    return readers.label_rows(spark, _vec_file(spark, d, F.concat(F.lit("t"), "vec_id")), names, 64).select("label", _sum("vec").alias("total"))
+    found = cut(readers.label_rows(spark, _vec_file(spark, d, F.concat(F.lit("t"), "vec_id")), names, 64), "topics")
+    return found.select("label", _sum("vec").alias("total")).unionByName(readers.label_misses(names, found).withColumn("total", F.lit(None).cast("double")))
 
 
 @query(f"WITH {_EMB} SELECT vec_id AS doc_id, round(list_sum(v), 4) AS total, 0 AS failed FROM e")

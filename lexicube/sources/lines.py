@@ -85,11 +85,19 @@ def recover(df: DataFrame, file: str = "file_name", no: str = "line_id", line: s
     return seen.select(F.col("file").alias(file), F.col("no").alias(no), F.when(skipped, "skipped").otherwise(F.col("kind")).alias("kind"), unless("doc_id"), unless("embedding"), F.when(skipped, "quoting").otherwise(F.col("reason")).alias("reason"), unless("error_pos"), unless("error_field"))
 
 
-def parse_files(spark: SparkSession, path: str, dim: int = 100) -> DataFrame:
-    """Text files of any size through the file rule (:func:`recover`): one row a line, ``line_no`` from 0.
+def numbered_lines(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """(file_name, line_no, value): lines of text files of any size with dense numbers from 0.
 
-    Files are read in blocks by many tasks; a line's place is its block and its order there.
+    Numbers run within a file (``by`` file_name) or over all files in the order of their
+    names (no ``by``). Files are read in blocks by many tasks; a line's place is its block
+    and its order there, so numbers don't depend on how files are cut into tasks.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    numbered = running(cut(lines, "lines"), ["file_name"], [F.col("block"), F.col("at")], {"line_no": F.lit(1).cast("long")})
-    return recover(numbered.withColumn("line_no", F.col("line_no") - 1), "file_name", "line_no", "value", dim)
+    order = [F.col(c) for c in ("file_name", "block", "at") if c not in by]
+    numbered = running(cut(lines, "lines"), by, order, {"line_no": F.lit(1).cast("long")})
+    return numbered.select("file_name", (F.col("line_no") - 1).alias("line_no"), "value")
+
+
+def parse_files(spark: SparkSession, path: str, dim: int = 100) -> DataFrame:
+    """Text files of any size through the file rule (:func:`recover`): one row a line, ``line_no`` from 0."""
+    return recover(numbered_lines(spark, path, ["file_name"]), "file_name", "line_no", "value", dim)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexicube.functions.text import join_phrases, phrase_spans, sentences, strip_markup
-from lexicube.sources.lines import parse_lines
+from lexicube.sources.lines import numbered_lines, parse_lines
 
 ANNOTATED = "id long, token array<string>, pos array<string>, ner array<struct<text:string,start:int,end:int,type:string>>"
 NEWS = "abstract array<string>, content array<string>, type array<string>"
@@ -47,8 +47,9 @@ def read_settings(path: str) -> Settings:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): lines of text files; ids are stable per file layout, not positions."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    """(doc_id, text): lines of text files; ids are dense from 0 in the order of files and lines, however they are read."""
+    lines = numbered_lines(spark, path, [])
+    return lines.select(F.col("line_no").alias("doc_id"), F.col("value").alias("text"))
 
 
 def document_sets(df: DataFrame, key: str, text: str, separator: str = "story_separator_special_tag") -> DataFrame:
@@ -71,7 +72,7 @@ def phrase_list(spark: SparkSession, path: str, dedupe: bool = False) -> DataFra
 
 def document_embeddings(spark: SparkSession, path: str, dim: int = 100) -> tuple[DataFrame, DataFrame]:
     """(records, errors) of an embedding file of documents; headers are skipped."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("raw_line"))
+    lines = numbered_lines(spark, path, []).select(F.col("line_no").alias("line_id"), F.col("value").alias("raw_line"))
     out = parse_lines(lines, dim=dim)
     return out.where("kind = 'record'").select("doc_id", "embedding"), out.where("kind = 'error'").select("line_id", "reason", "error_pos")
 
@@ -93,6 +94,11 @@ def label_rows(spark: SparkSession, path: str, labels: DataFrame, dim: int) -> D
     return keyed_embeddings(spark, path, dim).join(labels.select("label"), F.col("key") == F.col("label")).select("label", "vec")
 
 
+def label_misses(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """(label): labels for which :func:`label_rows` found no vector."""
+    return labels.select("label").distinct().join(found.select("label"), "label", "left_anti")
+
+
 def typed_embeddings(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """(type, id, vec) of keys ``type:id``."""
     e = keyed_embeddings(spark, path, dim)
