@@ -95,7 +95,7 @@ def _rows(table: pa.Table, id: str, v: str) -> tuple[np.ndarray, np.ndarray]:
     return table.column(id).to_numpy(), flat[first : first + size * len(col)].view("<f4").reshape(len(col), -1)
 
 
-def _nearest_few(vectors: DataFrame, held: DataFrame, k: int, near_type: str) -> DataFrame:
+def _nearest_few(vectors: DataFrame, held: DataFrame, k: int, near_type: str, alone: bool) -> DataFrame:
     """The neighbours among at most ``SMALL`` vectors: those are sent to every task, nothing is shuffled."""
     few = held.toPandas()
     mid, m = few["id"].to_numpy(), matrix(few["v"])
@@ -105,7 +105,7 @@ def _nearest_few(vectors: DataFrame, held: DataFrame, k: int, near_type: str) ->
             if not batch.num_rows:
                 continue
             qid, q = _rows(pa.Table.from_batches([batch]), "id", "v")
-            for i, j, sim in nearest_in_block(qid, q, mid, m, k, alone=False):
+            for i, j, sim in nearest_in_block(qid, q, mid, m, k, alone=alone):
                 rows, count = np.unique(i, return_counts=True)
                 offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(sim), pa.array(mid[j])], names=["sim", "id"])
@@ -147,8 +147,8 @@ def nearest(vectors: DataFrame, k: int = 10, margin: float = 0.25, among: DataFr
     n = held.count()
     if n == 0:
         return spark.createDataFrame([], near_type)
-    if among is not None and n <= SMALL:
-        return _nearest_few(vectors, held, k, near_type)
+    if n <= SMALL:
+        return _nearest_few(held if among is None else vectors, held, k, near_type, among is None)
     lists = max(1, min(sample // 4, math.ceil(math.sqrt(n) / 2)))
     drawn = held.select(F.xxhash64("id").alias("h"), "v").orderBy("h").limit(sample).toPandas()
     centres = fit_lists(matrix(drawn["v"]), lists)
