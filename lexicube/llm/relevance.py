@@ -74,8 +74,9 @@ def p1_weights(spark: SparkSession, folder: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str, least: int = 4, ratio: float = 2.3) -> DataFrame:
     """The outstanding phrase of a record: over ``ratio`` times the second one.
 
-    Compared is tf * idf as the operator gives them (no saturation), which is how
-    the case is defined. One aggregate per record: the two largest weights.
+    The case is defined by tf * ln(N / df), so that product of the operator's own columns
+    is compared: neither the saturation of tf nor the length normalisation of ``weight``
+    plays a part here (``p1_weights`` has it). One aggregate per record: the two largest weights.
     """
     w = F.col("tf") * F.col("idf")
     out = weights(spark, folder).select("origin", "rec_id", "phrase", w.alias("w"))
