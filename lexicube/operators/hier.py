@@ -32,7 +32,7 @@ def _levels(now: DataFrame, links: DataFrame, forward: Callable[[DataFrame], Dat
         if now.isEmpty():
             return out
         depth += 1
-        if depth % 16 == 0:
+        if depth % 8 == 0:
             nodes = nodes or links.select("parent").union(links.select("child")).distinct().count()
             if depth > nodes:
                 raise ValueError("the hierarchy has a cycle")
