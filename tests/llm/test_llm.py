@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexicube import session
 from lexicube.llm import hidden_events as he, knn, mcl, mixing, packing, recompress, relevance, repeats, sentences, termcounts, vectors
 
 
@@ -183,6 +184,39 @@ def test_groups_are_the_planted_ones(spark):
     assert mcl.similarity_groups(vectors.unit_vectors(df.limit(0), "id", "e")).count() == 0
 
 
+def test_similarity_groups_of_large_tables(spark, monkeypatch):
+    """Large groups are found in a sample, a small one that it doesn't show in the rest; no search among all pairs."""
+    rng = np.random.default_rng(6)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    own = np.repeat([0, 1, 2, 3], [600, 500, 400, 7])
+    x = unit(np.eye(100)[own] * 0.75 + math.sqrt(1 - 0.75**2) * unit(rng.normal(size=(len(own), 100))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, e array<float>")
+    searched = []
+    nearest = mcl.nearest
+    monkeypatch.setattr(mcl, "nearest", lambda v, *a, **b: searched.append(v.count()) or nearest(v, *a, **b))
+    monkeypatch.setattr(mcl, "SHOWN", 300, raising=False)
+    got = mcl.similarity_groups(vectors.unit_vectors(df, "id", "e")).toPandas()
+    found = [set(g["id"]) for _, g in got.groupby("leader")]
+    for k in range(4):
+        w = set(np.flatnonzero(own == k).tolist())
+        assert max(len(w & f) / len(w | f) for f in found) >= 0.95
+    assert searched and max(searched) < 450
+
+
+def test_sample_flow_over_the_whole_table(spark):
+    """A sample that is the table gives the flow of the matrix."""
+    rng = np.random.default_rng(7)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    own = np.repeat([0, 1, 2], [60, 40, 30])
+    x = unit(np.eye(100)[own] * 0.7 + 0.7 * unit(rng.normal(size=(len(own), 100))))
+    v = session.cut(vectors.unit_vectors(spark.createDataFrame([(3 * i, r.tolist()) for i, r in enumerate(x)], "id long, e array<float>"), "id", "e"))
+    members, _, graph = mcl.markov_clusters(v)
+    want = mcl.strongest_flow(graph, members, 0.4).toPandas().sort_values("id")
+    got = mcl.sample_flow(v, v, graph, members, 0.4, margin=2.0).toPandas().sort_values("id")
+    assert got["id"].tolist() == want["id"].tolist() and got["node"].tolist() == want["node"].tolist()
+    assert np.allclose(got["inflow"], want["inflow"], atol=1e-4)
+
+
 def test_similarity_groups_lost_clusters_remove_none(spark):
     """H > N > G: N clashes with H, G only with N; G stays."""
     rng = np.random.default_rng(4)
