@@ -266,6 +266,26 @@ def test_sparse_nearest_against_brute_force(spark):
     assert index.sparse_nearest(qd.limit(0), rd).count() == 0 and index.sparse_nearest(qd, rd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [0, 20, 400])
+def test_products_in_strips_and_matrices(frequent):
+    """Phrases by matrices, through lists or both; blocks, strips and ties as brute force has them."""
+    rnd = np.random.default_rng(5)
+
+    def vectors(n, m):
+        words = [np.unique((400 * rnd.random(m) ** 3).astype(int)) for _ in range(n)]
+        v = np.round(rnd.random(sum(map(len, words))), 1) + 0.1  # many ties
+        return np.repeat(np.arange(n), [len(w) for w in words]), np.concatenate(words) * 7, v
+
+    (qn, qt, qv), (dn, dt, dw) = vectors(300, 12), vectors(3000, 9)
+    a, b = np.zeros((300, 2800)), np.zeros((3000, 2800))
+    a[qn, qt], b[dn, dt] = qv, dw
+    dots = np.round(a @ b.T, 6)
+    order = np.argsort(-dots, axis=1, kind="stable")[:, :10]
+    want = [(i, j) for i in range(300) for j in order[i] if dots[i, j] != 0]
+    i, j, x = index._best_products(300, qn, qt, qv, 3000, dn, dt, dw, np.arange(frequent) * 7, 10, 64, 256)
+    assert list(zip(i, j)) == want and np.abs(x - dots[i, j]).max() < 1e-6
+
+
 def test_tiles_give_the_same_as_one_block(spark):
     toks = [[f"t{(i * j) % 7}" for j in range(1, 4)] for i in range(9)] + [[]]
     s = spark.createDataFrame([(1, i, sorted(set(t)), [1.0] * len(set(t))) for i, t in enumerate(toks)], "set_id long, sent_no int, tokens array<string>, weights array<double>")
