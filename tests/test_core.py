@@ -226,6 +226,34 @@ def test_contrast_prefers_own_phrases(spark):
     assert rank.contrast(own.limit(0), back, spark.createDataFrame([], "set_id long, node string")).count() == 0
 
 
+def test_prepared_walks_and_contrast_equal_the_series(spark):
+    """Walks solved for equal the series; rounds that come back to a start aren't walked again."""
+    rnd = np.random.default_rng(2)
+    docs = [rnd.integers(0, 40, 30).tolist() for _ in range(8)] + [[41, 41, 42], [43]]
+    for once in (True, False):
+        g = rank.window_graph(docs, 4, once)
+        for terms in (6, 200):
+            walk = rank.prepared_walk(*g, 50, terms=terms)
+            for _ in range(3):
+                x = (rnd.random(50) < 0.3) * 1.85
+                assert np.allclose(walk(x), rank.seed_rank(*g, x, terms=terms), rtol=0, atol=1e-12)
+    none = np.zeros(0, np.int64)
+    assert (rank.prepared_walk(none, none, np.zeros(0), 3)(np.ones(3)) == 1 - 0.85).all()
+    words = [[f"w{i}" for i in d] for d in docs]
+    own, back = spark.createDataFrame([(1, d) for d in words[:3]], "set_id long, tokens array<string>"), spark.createDataFrame([(1, d) for d in words[3:]], "set_id long, tokens array<string>")
+    got = {r.node: r.score for r in rank.contrast(own, back, spark.createDataFrame([(1, "w1"), (1, "w2")], "set_id long, node string"), 5, 10).collect()}
+    nodes = sorted({w for d in words for w in d})
+    number = lambda ds: [[nodes.index(w) for w in d] for d in ds]
+    t, b = rank.window_graph(number(words[:3]), 4, True), rank.window_graph(number(words[3:]), 4, False)
+    seed, mine, picked = np.isin(nodes, ["w1", "w2"]).astype(float), np.isin(nodes, sum(words[:3], [])), []
+    for _ in range(10):
+        x = seed.copy()
+        x[picked] += 0.85
+        lead = np.round(rank.seed_rank(*t, x) - rank.seed_rank(*b, x), 9)
+        picked = sorted(np.flatnonzero(mine & (lead > np.round(lead.mean(), 9))), key=lambda i: (-lead[i], i))[:5]
+    assert got == {nodes[i]: pytest.approx(lead[i], abs=1e-9) for i in picked}
+
+
 def test_set_scores_equal_cell_scores(spark):
     """The fixture of cell scores with the target as a set and the others as siblings."""
     docs = spark.createDataFrame([("t", 1, ["a", "a", "b"]), ("t", 2, ["a", "c"]), (None, 3, ["a"])], "set_id string, doc_no int, tokens array<string>")
